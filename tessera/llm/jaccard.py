@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 from .components import components
 from .text import Hasher, blocks, mix
 
@@ -366,20 +366,11 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs.
-
-    Sets link when 100 * intersection >= percent * union; component_id is the
-    least doc_id that links reach. Null texts and texts without words have
-    empty sets and are linked with nothing. Rows with a null doc_id join
-    components but never name one; a component of them alone has a null id. Repeated rows count as
-    documents of their own.
-    """
-    spark = docs.sparkSession
-    rows = keyed(docs)
+def classes_and_roots(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row for each document (profiles), for each set that isn't empty (fp, least_id, k1, k2), and for each linked set (node, root)."""
     found = written(profiles(rows, words))
     profile = found.where("n is not null")
-    shared = spark.sparkContext.broadcast(bucket_classes(found))
+    shared = rows.sparkSession.sparkContext.broadcast(bucket_classes(found))
     reps = written(
         profile.where("n > 0")
         .groupBy("fp", "n")
@@ -390,11 +381,42 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     again = grams.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("gram")
     shared_grams = grams.join(again, "gram", "left_semi").distinct()
     keys = written(candidate_keys(shared_grams, reps, percent).distinct())
-    edges = links(fetch_sets(rows, keys, reps, shared, words), percent)
-    roots = components(edges)
+    return profile, reps, components(links(fetch_sets(rows, keys, reps, shared, words), percent))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs.
+
+    Sets link when 100 * intersection >= percent * union; component_id is the
+    least doc_id that links reach. Null texts and texts without words have
+    empty sets and are linked with nothing. Rows with a null doc_id join
+    components but never name one; a component of them alone has a null id.
+    Repeated rows count as documents of their own.
+    """
+    profile, reps, roots = classes_and_roots(keyed(docs), words, percent)
     named = roots.join(reps.select(F.col("fp").alias("node"), "least_id"), "node")
     of_root = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
-    of_fp = reps.select("fp", "least_id").join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = profile.join(of_fp.withColumnRenamed("fp", "of"), (F.col("fp") == F.col("of")) & (F.col("n") > 0), "left")
+    of_fp = reps.select("fp", "least_id").join(named, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least_id").alias("component_id"))
+    out = profile.join(of_fp, (F.col("fp") == F.col("of")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the least doc_id (null first).
+
+    Of rows with equal doc_id and text one stays. Rows without words are linked with
+    nothing and all stay.
+    """
+    rows = keyed(docs)
+    _, reps, roots = classes_and_roots(rows, words, percent)
+    grouped = reps.select("fp", F.struct("k1", "k2").alias("k")).join(roots, F.col("fp") == F.col("node"), "left")
+    kept = written(grouped.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k")).select("k.*"))
+    k1, k2, place = (free_name(docs, x) for x in ("_k1", "_k2", "_place"))
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    empty = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keys = kept.select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    named = docs.where(~empty).withColumn(k1, F.coalesce(id_, F.lit(-(2**63)))).withColumn(k2, F.xxhash64(text))
+    first = Window.partitionBy(k1, k2).orderBy(F.lit(0))
+    stay = named.join(keys, [k1, k2], "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return stay.select(*docs.columns).unionByName(docs.where(empty))

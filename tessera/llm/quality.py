@@ -43,8 +43,8 @@ def bucketed(hasher: Hasher, data: np.ndarray, rows: np.ndarray, buckets: int) -
     return np.append(grams, np.full(again.sum(), buckets - 1)), np.concatenate([row, row[: len(pairs)][ok], row[again]])
 
 
-def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> dict[int, bool]:
-    """Whether each of up to ``limit`` labelled documents is target text (quality 1, not toxic), taken by a hash of doc_id.
+def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> tuple[list[int], list[int]]:
+    """Labelled target documents (quality 1, not toxic) of up to ``limit`` labelled ones, taken by a hash of doc_id: one half to fit, one held out to set k.
 
     Rows with a null doc_id or quality are left out; a document with several
     labels is target text if all say so.
@@ -52,7 +52,8 @@ def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> dict[int, bool]
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     rows = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("good"))
-    return {r["doc_id"]: bool(r["good"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()}
+    good = [r["doc_id"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect() if r["good"]]
+    return good[::2], good[1::2]
 
 
 def gram_models(docs: DataFrame, target: list[int], buckets: int = BUCKETS) -> np.ndarray:
@@ -80,8 +81,8 @@ def gram_models(docs: DataFrame, target: list[int], buckets: int = BUCKETS) -> n
     counts = np.ones((2, buckets))
     for r in rows:
         counts[:, r["bucket"]] += r["raw"], r["good"]
-    share = counts / counts.sum(axis=1, keepdims=True)
-    return np.log(share[1]) - np.log(share[0])
+    raw_share, target_share = counts / counts.sum(axis=1, keepdims=True)
+    return np.log(target_share) - np.log(raw_share)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -148,12 +149,10 @@ def gumbel_top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.where(F.lit(False)) if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut))
 
 
-def sample_size(scored: DataFrame, sample: dict[int, bool], missed: float = MISSED) -> int:
-    """k: as many documents as reach the key that all but ``missed`` of the labelled target documents reach; all, without such labels."""
-    spark = scored.sparkSession
-    good = [i for i, ok in sample.items() if ok]
-    ids = spark.createDataFrame([(i,) for i in good], "doc_id long")
-    keys = sorted(r[0] for r in scored.join(F.broadcast(ids), "doc_id", "left_semi").select("gumbel_key").collect()) if good else []
+def sample_size(scored: DataFrame, held_out: list[int], missed: float = MISSED) -> int:
+    """k: as many documents as reach the key that all but ``missed`` of the held-out target documents reach; all, without such documents."""
+    ids = scored.sparkSession.createDataFrame([(i,) for i in held_out], "doc_id long")
+    keys = sorted(r[0] for r in scored.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("gumbel_key").alias("key")).select("key").collect()) if held_out else []
     if not keys:
         return scored.count()
     return scored.where(F.col("gumbel_key") >= F.lit(keys[int(len(keys) * missed)])).count()
@@ -165,12 +164,12 @@ def resample(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) ->
     With keep_columns all columns of docs are kept, else doc_id. Null and empty
     texts are neutral (weight 1); without labels everything is kept.
     """
-    sample = labelled_sample(labels)
-    ratio = gram_models(docs, [i for i, ok in sample.items() if ok])
+    fit, held_out = labelled_sample(labels)
+    ratio = gram_models(docs, fit)
     scored = log_weights(docs if keep_columns else texts(docs), ratio)
     keys = written(scored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_grams", "log_weight", "gumbel_key"))
-    k = sample_size(keys, sample)
+    k = sample_size(keys, held_out)
     if not keep_columns:
         return gumbel_top_k(keys, k)
     cut = kth_largest(keys, "gumbel_key", k)
-    return (scored.where(F.lit(False)) if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut)))
+    return scored.where(F.lit(False)) if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut))
