@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from tessera.llm import components, jaccard
+
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def shingles(text, words):
+    w = (text or "").encode().translate(LOWER).split()
+    return {tuple(w[p : p + words]) for p in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+
+
+def brute(docs, words, percent):
+    sets = [(i, shingles(t, words)) for i, t in docs]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                root[find(a)] = find(b)
+    groups: dict[int, list] = {}
+    for k, (i, _) in enumerate(sets):
+        groups.setdefault(find(k), []).append(i)
+    least = {k: min((i for i in g if i is not None), default=None) for k, g in groups.items()}
+    return sorted(((i, len(s), least[find(k)] if s else i) for k, (i, s) in enumerate(sets)), key=repr)
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    common, docs = text(30), []
+    for _ in range(12):
+        base = text(rng.randint(4, 90))
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 2)] = text(rng.randint(0, 2))
+            docs.append(" ".join(copy if rng.random() < 0.7 else copy + common))
+    docs += docs[:5] + [docs[0].upper(), "", None, " \n", "one", "One", "two words", "two  words", "a b c d", "A b c d", "x " * 500, "x " * 501, None]
+    rows = [(i, t) for i, t in enumerate(docs)]
+    return rows + [(3, docs[3]), (3, docs[9]), (None, docs[7]), (None, "nobody else has this text here"), (None, None)]
+
+
+@pytest.mark.parametrize("few, grams", [(256, 2_000_000), (2, 120), (1, 10**9)])
+def test_components_by_brute_force(spark, monkeypatch, few, grams):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)
+    docs = corpus(few)
+    df = spark.createDataFrame([(i, t, 5, "z") for i, t in docs], "doc_id long, text string, n int, fp string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=repr)
+    assert got == brute(docs, 4, 85)
+
+
+def test_one_of_each(spark):
+    docs = corpus(9)
+    df = spark.createDataFrame([(i, t, 5, "z") for i, t in docs], "doc_id long, text string, k1 int, _place string").repartition(3)
+    got = jaccard.one_of_each(df, 5, 80)
+    assert got.columns == df.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    empty = [x for x in docs if not (x[1] or "").split()]
+    assert len([x for x in kept if not (x[1] or "").split()]) == len(empty)
+    sets = [shingles(t, 5) for _, t in kept if (t or "").split()]
+    assert all(100 * len(a & b) < 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    groups = {c for _, n, c in brute([(k, t) for k, (_, t) in enumerate(docs)], 5, 80) if n}
+    assert len(sets) == len(groups)
+
+
+def test_trie_finds_what_pairs_find():
+    rng = random.Random(2)
+    for _ in range(40):
+        base = [rng.sample(range(300), rng.randint(1, 60)) for _ in range(4)]
+        sets = []
+        for _ in range(rng.randint(2, 40)):
+            s = set(rng.choice(base))
+            for _ in range(rng.randint(0, 6)):
+                s ^= {rng.randrange(300)}
+            if s:
+                sets.append(s)
+        trie = jaccard.Trie([np.array(sorted(s), dtype=np.uint64) << np.uint64(40) for s in sets])
+        for i, a in enumerate(sets):
+            assert sorted(trie.partners(i, 85)) == [k for k, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b)]
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard.jaccard_components(df).count() == 0
+    assert jaccard.one_of_each(df).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    rng = random.Random(4)
+    ids = rng.sample(range(10**6), 300)
+    chain = list(zip(ids, ids[1:])) + [(7_000_001, 7_000_002), (7_000_002, 7_000_001), (8, 8)]
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect())
+    assert {got[i] for i in ids} == {min(ids)} and got[7_000_002] == got[7_000_001] == 7_000_001
