@@ -90,7 +90,10 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    image = decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    if not image.size:
+        raise ValueError("an image without pixels")
+    return image
 
 
 def grey(image: np.ndarray) -> np.ndarray:

@@ -73,4 +73,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+#: Where SQL says the whole of a query. The others are held against brute force in the tests.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+spots AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 34], ' ')) AS mark FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS pos FROM texts WHERE len(words) >= 35)),
+again AS (SELECT mark FROM spots GROUP BY mark HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 35)) AS place FROM spots WHERE mark IN (SELECT mark FROM again)),
+every AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.place) AS rest FROM every e ANTI JOIN gone g ON g.doc_id = e.doc_id AND g.place = e.place GROUP BY e.doc_id)
+SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.rest, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id""",
+    "op8_ngram_jaccard_join": r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS gram FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a AS doc_id, min(b) AS other FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.doc_id = d.doc_id""",
+}
