@@ -29,9 +29,9 @@ PERCENT = 85
 SKETCH_BITS = 18
 RANGES = 256
 #: Up to so many sets under an n-gram are compared as pairs with bounds, more in a trie of whole sets.
-FEW = 64
+FEW = 256
 #: N-grams in one block of a trie; an n-gram with more sets is split into blocks that meet two by two.
-BLOCK_GRAMS = 1_000_000
+BLOCK_GRAMS = 2_000_000
 
 
 def least_overlap(x, y, percent: int):
@@ -73,7 +73,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def profiles(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, k1, k2, n, fp, ranges of each row; and, with a null n, (bucket, grams) of busy sketch buckets of each task."""
+    """doc_id, k1, k2, n, fp, ranges of each row; and, with a null n, (bucket, grams) of the sketch buckets of each task."""
     schema = "doc_id long, k1 long, k2 long, n int, fp long, ranges binary, bucket int, grams long"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -96,23 +96,20 @@ def profiles(rows: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 columns = [part.column(0), part.column(2), part.column(3), pa.array(n, kinds[3]), pa.array(fp, kinds[4]), pa.array(ranges, kinds[5]), pa.nulls(hi - lo, kinds[6]), pa.nulls(hi - lo, kinds[7])]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        busy = np.flatnonzero(counts > 2 * counts.mean() + 2)
-        if len(busy):
-            columns = [pa.nulls(len(busy), k) for k in kinds[:6]] + [pa.array(busy, kinds[6]), pa.array(counts[busy], kinds[7])]
+        used = np.flatnonzero(counts)
+        if len(used):
+            columns = [pa.nulls(len(used), k) for k in kinds[:6]] + [pa.array(used, kinds[6]), pa.array(counts[used], kinds[7])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.select("doc_id", "text", "k1", "k2").mapInArrow(run, schema)
 
 
 def bucket_classes(profile: DataFrame) -> np.ndarray:
-    """For each sketch bucket 0, or the higher the more n-grams busy tasks had in it (at most one row for each bucket comes to the driver)."""
-    busy = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("grams").alias("grams")).collect()
-    total = profile.agg(F.sum("n")).first()[0] or 0
-    mean = max(1.0, total / (1 << SKETCH_BITS))
-    classes = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
-    for r in busy:
-        classes[r["bucket"]] = min(40, int(4 * np.log2(1 + r["grams"] / mean)))
-    return classes
+    """For each sketch bucket 0, or the higher the more n-grams it has than the mean (one row for each bucket comes to the driver)."""
+    rows = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("grams").alias("grams")).toPandas()
+    counts = np.zeros(1 << SKETCH_BITS)
+    counts[rows["bucket"]] = rows["grams"]
+    return np.clip(4 * np.log2(np.maximum(counts, 1e-9) / max(1.0, counts.mean())), 0, 63).astype(np.uint8)
 
 
 def prefixes(rows: DataFrame, shared, words: int, percent: int) -> DataFrame:
