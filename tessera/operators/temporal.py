@@ -6,18 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str) -> DataFrame:
-    """left with the value of the latest right row of its key at or before its time (null if none).
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str, bucket_seconds: int = 86_400) -> DataFrame:
+    """left with the value of the latest right row of its key at or before its time (null if none, or if left's key or time is null).
 
-    Both sides are merged and sorted by (time, right first) within the key; a
-    running last value does the rest, so no pair of rows is made.
+    Both sides are merged and sorted by (time, right first) within (key, time
+    bucket), so a busy key is many small groups and no pair of rows is made. What a
+    bucket takes over from those before it comes from one row for each (key,
+    bucket). Of right rows at one time any may be taken.
     """
     columns = left.columns
-    a = left.select(F.struct(*columns).alias("row"), F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
-    b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.col(key).alias("_key"), F.col(time).alias("_time"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    until = Window.partitionBy("_key").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    merged = a.unionByName(b).withColumn(out, F.last("_value", ignorenulls=True).over(until))
-    return merged.where("_side = 1").select("row.*", out)
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_seconds * 1_000_000))
+    common = [F.col(key).alias("_key"), bucket(time).alias("_bucket"), F.col(time).alias("_time")]
+    kind = right.schema[value].dataType
+    a = left.select(F.struct(*columns).alias("row"), *common, F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_value"))
+    b = right.where(F.col(time).isNotNull()).select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *common, F.lit(0).alias("_side"), F.col(value).alias("_value"))
+    merged = a.unionByName(b)
+    latest = merged.groupBy("_key", "_bucket").agg(F.max_by("_value", F.when(F.col("_side") == 0, F.col("_time"))).alias("_last"))
+    earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = latest.select(F.col("_key").alias("_of"), F.col("_bucket").alias("_at"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = merged.withColumn("_found", F.last("_value", ignorenulls=True).over(inside)).where("_side = 1")
+    same = (F.col("_key") == F.col("_of")) & (F.col("_bucket") == F.col("_at"))
+    return found.join(carried, same, "left").select("row.*", F.when(F.col("_key").isNotNull(), F.coalesce("_found", "_carried")).alias(out))
 
 
 def within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, seconds: int) -> DataFrame:

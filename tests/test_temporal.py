@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
+
 from tessera.operators import temporal
 
 START = datetime(2024, 1, 1)
@@ -15,14 +17,15 @@ def rows(seed, n):
     return [(i, rng.choice([1, 2, None]), START + timedelta(seconds=rng.randrange(0, 300, 10))) for i in range(n)]
 
 
-def test_as_of(spark):
+@pytest.mark.parametrize("seconds", [10, 35, 86_400])
+def test_as_of(spark, seconds):
     left, right = rows(1, 60), rows(2, 40)
     right = list({(k, t): (i, k, t) for i, k, t in right}.values())
     a = spark.createDataFrame(left, "id int, k int, ts timestamp_ntz")
     b = spark.createDataFrame(right, "other int, k int, ts timestamp_ntz")
-    got = {r["id"]: r["found"] for r in temporal.as_of(a, b, "k", "ts", "other", "found").collect()}
+    got = {r["id"]: r["found"] for r in temporal.as_of(a, b, "k", "ts", "other", "found", seconds).collect()}
     for i, k, t in left:
-        near = [(u, j) for j, q, u in right if q == k and u <= t]
+        near = [(u, j) for j, q, u in right if k is not None and q == k and u <= t]
         assert got[i] == (max(near)[1] if near else None)
 
 
