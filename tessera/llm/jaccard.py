@@ -266,7 +266,8 @@ def candidate_keys(shared_grams: DataFrame, reps: DataFrame, percent: int) -> Da
         F.min("prev").alias("low"),
         F.max("prev").alias("high"),
     )
-    groups = groups.where("sets > 1 and (firsts > 0 or low < high)").select("gram", "sets", "grams")
+    # tables, here and below, so that both sides of joins are plain shuffles, of which Spark splits large partitions
+    groups = written(groups.where("sets > 1 and (firsts > 0 or low < high)").select("gram", "sets", "grams"))
     few = grams.join(groups.where(F.col("sets") <= FEW).select("gram"), "gram")
     a = few.select("gram", *[F.col(c).alias(c + "_a") for c in ("fp", "n", "pos", "prev")])
     b = few.select("gram", *[F.col(c).alias(c + "_b") for c in ("fp", "n", "pos", "prev")])
@@ -375,7 +376,7 @@ def classes_and_roots(rows: DataFrame, words: int, percent: int) -> tuple[DataFr
         .select("fp", "n", "least_id", "k.*", "ranges")
     )
     grams = prefixes(rows, shared, words, percent)
-    again = grams.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("gram")
+    again = written(grams.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("gram"))
     shared_grams = grams.join(again, "gram", "left_semi").distinct()
     keys = written(candidate_keys(shared_grams, reps, percent).distinct())
     return profile, reps, components(links(fetch_sets(rows, keys, reps, shared, words), percent))

@@ -20,6 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .text import Hasher, Words, blocks, inside, mix
 
 WINDOW = 35
@@ -138,7 +139,8 @@ def level(rows: DataFrame, window: int, n: int, before: int | None) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(k1[lo + row[at]]), pa.array(k2[lo + row[at]]), pa.array(places)], names=names)
 
     seeds = rows.mapInArrow(run, "gram long, k1 long, k2 int, places int")
-    again = seeds.groupBy("gram").agg(F.sum("places").alias("n")).where("n > 1").select("gram")
+    # a table, so that both sides of the join are plain shuffles, of which Spark splits large partitions
+    again = written(seeds.groupBy("gram").agg(F.sum("places").alias("n")).where("n > 1").select("gram"))
     return seeds.join(again, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("gram").alias("left"))
 
 
