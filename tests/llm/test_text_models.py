@@ -198,6 +198,34 @@ def test_base_spans_of_very_long_runs():
         pii.base_spans(t)
 
 
+def test_regions_are_the_runs_of_words_with_digits():
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1@ \t\n.-") for _ in range(rng.randint(0, 25)))
+        plain = re.finditer(r"\S*[0-9@]\S*(?:[ \t]{1,2}\S*[0-9@]\S*)*", text)
+        assert [m.span() for m in pii._REGION.finditer(text)] == [m.span() for m in plain]
+
+
+def test_a_very_long_word_without_digits():
+    assert list(pii.regions("x" * 2_000_000)) == []
+
+
+def test_spans_that_touch_base_spans_are_not_added():
+    rng = random.Random(6)
+
+    class Chosen:
+        def decode(self, region):
+            return [(b, e, 3) for b, e in ((rng.randint(0, 30), rng.randint(31, 60)), (rng.randint(0, 50), 0)) if b < e]
+
+    for _ in range(500):
+        base = sorted({(b := rng.randint(0, 55), b + rng.randint(1, 6), rng.randint(0, 3)) for _ in range(rng.randint(0, 5))})
+        state = rng.getstate()
+        wanted = [s for s in Chosen().decode(None) if not any(x < s[1] and s[0] < y for x, y, _ in base)]
+        rng.setstate(state)
+        found = pii.all_spans("1" + "x" * 60, base, Chosen())
+        assert sorted(found) == sorted(base + wanted)
+
+
 def test_field_on_held_out_sentences():
     field = pii.trained()
     right = found = there = 0
