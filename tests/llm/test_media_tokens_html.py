@@ -109,6 +109,9 @@ def test_a_small_cache_gives_the_same_counts():
         text = f"the word{k} word{k + 1} and the rest{k}"
         assert counting.count([text]) == [len(tokenizer.encode(text).ids)]
     assert len(counting.lengths) < 20
+    long = "y" * 5000
+    assert counting.count([long, f"a {long} b"]) == [len(tokenizer.encode(x).ids) for x in (long, f"a {long} b")]
+    assert max(map(len, counting.lengths)) <= tokens.LONGEST
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head>
