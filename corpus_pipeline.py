@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, mixing, quality, sharding
 from tessera.llm.common import written
@@ -36,8 +37,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their place in it."""
-    return sharding.shard_documents(docs)
+    """All documents with their shard and their place in it, in the order of the mix.
+
+    Rows of a Parquet table have no order of their own; the schedule depends on the
+    documents alone, so it is drawn up again here.
+    """
+    slots = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / mixing.BLOCK_ROWS).alias("blocks")).agg(F.sum("blocks")).scalar()
+    bucket = F.floor(F.col("mix_slot") * sharding.BUCKETS / slots)
+    placed = sharding.shard_documents(mixing.mix_sources(docs), bucket=bucket, order=[F.col("mix_slot"), F.col("mix_seq")])
+    return placed.drop(*[c for c in mixing.COLUMNS if c not in docs.columns])
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -45,14 +45,14 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def numbered(
-    df: DataFrame, groups: list[str], bucket: Column, order: list[Column], out: str, buckets: int = 1024
+    df: DataFrame, groups: list[str], bucket: Column, order: list[Column], out: str, buckets: int = 1024, few: bool = False
 ) -> DataFrame:
     """Add ``out``: numbers from 0 without gaps inside each group, without one task per group.
 
     Rows of a group are dealt into ``buckets`` by ``bucket`` (a value from 0 to
     buckets - 1) and numbered there; each bucket starts where the ones before it
-    end. The table of starts has at most groups x buckets rows. The order is
-    (bucket, order).
+    end. The table of starts has at most groups x buckets rows; it is broadcast if
+    there are ``few`` groups. The order is (bucket, order).
     """
     b, n, start = free_name(df, "_bucket"), free_name(df, "_count"), free_name(df, "_start")
     df = df.withColumn(b, bucket.cast("int"))
@@ -68,7 +68,7 @@ def numbered(
     rows = df.withColumn(out, F.row_number().over(inside).cast("long") - 1)
     match = [rows[k].eqNullSafe(starts["_of_" + k]) for k in keys]
     return (
-        rows.join(starts, match)
+        rows.join(F.broadcast(starts) if few else starts, match)
         .withColumn(out, F.col(out) + F.col(start))
         .drop(b, start, *["_of_" + k for k in keys])
     )

@@ -20,6 +20,7 @@ from .common import free_name, numbered
 BLOCK_ROWS = 16
 FRAME = 1000
 BUCKETS = 1024
+COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_seq"]
 #: Up to so many sources the schedule's tables are broadcast (below 6 million slots), else they are joined by a shuffle.
 BROADCAST_SOURCES = 256
 
@@ -112,14 +113,13 @@ def mix_sources(
     ids in any order. The last block of a source may be short. No row is left out.
     Columns of the five names are replaced. Empty tables stay empty.
     """
-    out = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_seq"]
-    docs = docs.drop(*out)
+    docs = docs.drop(*COLUMNS)
     plan = source_plan(docs, source, weights, block_rows, frame)
     small = docs.select(source).distinct().count() <= BROADCAST_SOURCES
     sized = F.broadcast if small else (lambda x: x)
     rank = free_name(docs, "_rank")
     bucket = F.pmod(F.xxhash64(F.col(id_column), F.lit("mix")), F.lit(BUCKETS))
-    rows = numbered(docs, [source], bucket, [F.col(id_column)], rank, buckets=BUCKETS)
+    rows = numbered(docs, [source], bucket, [F.col(id_column)], rank, buckets=BUCKETS, few=small)
     ends = F.expr("blocks div share")
     breaks = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.lit(0).cast("long"), ends, ends + 1)))))
     every = plan.agg(breaks).scalar()

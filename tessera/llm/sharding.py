@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from .common import free_name, numbered
 
 SHARDS = 24
+BUCKETS = 1024
+#: Up to so many shards the starts of their buckets are broadcast where the order is given.
+FEW_SHARDS = 256
 
 
 def bid(key: Column, shard: int, weight: float) -> Column:
@@ -44,11 +47,14 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown_weigh
     return df.withColumn("shard", (-old["order"]).cast("int")).withColumn("grown_shard", grown.cast("int")).drop(win)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] | None = None) -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] | None = None, bucket: Column | None = None, order: Sequence[Column] = ()
+) -> DataFrame:
     """All documents with size, text_crc32, law, shard, slot and grown_shard added.
 
     slot numbers a shard's rows from 0 without gaps, in the order of a hash
-    bucket, doc_id and the text's checksum. A null text counts as no bytes; a
+    bucket, doc_id and the text's checksum, or of ``bucket`` (a value from 0 to
+    BUCKETS - 1) and ``order``, where given. A null text counts as no bytes; a
     null doc_id is placed like any key; rows alike in every column share their
     shard and take slots in any order. Columns of these names are replaced.
     """
@@ -59,5 +65,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, weights: Sequence[flo
         .withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")))
         .withColumn("law", F.lit("key"))
     )
-    bucket = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("slot")), F.lit(1024))
-    return numbered(placed, ["shard"], bucket, [F.col("doc_id"), F.col("text_crc32")], "slot", buckets=1024)
+    few = bucket is not None and len(weights or range(shards)) <= FEW_SHARDS
+    if bucket is None:
+        bucket, order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("slot")), F.lit(BUCKETS)), [F.col("doc_id"), F.col("text_crc32")]
+    return numbered(placed, ["shard"], bucket, list(order), "slot", buckets=BUCKETS, few=few)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontaminate, quality
+from tessera.llm import decontaminate, mixing, quality
 
 from .test_jaccard import shingles
 
@@ -53,3 +53,15 @@ def test_run_is_the_stages(spark, small):
     assert got.count() > 0 and "slot" in got.columns
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
     assert quality.LABELLED == 20_000 and decontaminate.COVERAGE == 0.8
+
+
+def test_shards_are_read_in_the_order_of_the_mix(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    turn = {r["doc_id"]: (r["mix_slot"], r["mix_seq"]) for r in mixing.mix_sources(docs).collect()}
+    for _, stage in corpus_pipeline.STAGES[-2:]:
+        docs = stage(spark, docs, small)
+    shards = {}
+    for r in docs.sort("shard", "slot").collect():
+        shards.setdefault(r["shard"], []).append(turn[r["doc_id"]])
+    assert sum(map(len, shards.values())) == len(turn) and all(x == sorted(x) for x in shards.values())
+    assert not set(mixing.COLUMNS) & set(docs.columns)
