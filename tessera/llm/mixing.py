@@ -1,28 +1,45 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions alone.
 
-A source's rows are cut into blocks. Time runs in slots, one block each, and in
-frames of about ``frame`` slots in which a source has a whole number of blocks, in
-proportion to its weight, until it is used up. So each frame begins with no
-deviation, and frames of one composition have one schedule. Inside a frame of L
-slots, block j of the m blocks of a source has the release time floor(j L / m) and
-the deadline ceil((j + 1) L / m); in each slot, of the released blocks the one with the
-earliest deadline goes. At any slot a source is then less than one block
-away from its share.
+A source's rows are cut into blocks. Time runs in slots, one block each. In the ideal
+mix the sources that aren't used up run at the same time, in proportion to their exact
+weights. A block has the slot in which the ideal mix begins it as its release time and
+the end of the slot in which that is done with it as its deadline; in each slot, of the
+released blocks the one with the earliest deadline goes. At any slot a source is then
+less than one block away from the ideal mix, however many slots there are. The
+schedule is drawn up in whole numbers, on the driver, by a heap of one block a source;
+it has three numbers a block.
+
+With a length for ``frame``, time runs in frames of about so many slots in which a source
+has a whole number of blocks, in proportion to its weight, one at least, until it is
+used up; frames of one composition have one schedule. Inside a frame of L slots, block j
+of the m blocks of a source has the release time floor(j L / m) and the deadline
+ceil((j + 1) L / m). The bound then holds for the share that is rounded to whole blocks a frame; the
+distance from the true weight grows with the number of frames unless they divide the frame exactly.
 """
 
 from __future__ import annotations
 
+from array import array
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from math import lcm
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, numbered
 
 BLOCK_ROWS = 16
-FRAME = 1000
+#: Blocks in one row of the table of the schedule.
+CHUNK = 1024
 BUCKETS = 1024
 COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_seq"]
 #: Up to so many sources the schedule's tables are broadcast (below 6 million slots), else they are joined by a shuffle.
 BROADCAST_SOURCES = 256
+#: Up to so many blocks (24 bytes each) the schedule is broadcast.
+BROADCAST_BLOCKS = 1 << 20
 
 _EDF = """
 aggregate(
@@ -43,24 +60,84 @@ aggregate(
 """
 
 
-def source_plan(docs: DataFrame, source: str, weights: DataFrame | None, block_rows: int, frame: int) -> DataFrame:
-    """A row for each source: blocks, and its share: the blocks of a full frame."""
+def source_plan(docs: DataFrame, source: str, weights: DataFrame | None, block_rows: int, frame: int | None) -> DataFrame:
+    """A row for each source: blocks, weight and, with frames, its share: the blocks of a full frame."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
         counts = counts.withColumn("weight", F.sqrt("rows"))
     else:
-        named = weights.groupBy(F.col("source").alias("of")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
+        finite = F.when(F.col("weight").cast("double") < float("inf"), F.col("weight").cast("double"))
+        named = weights.groupBy(F.col("source").alias("of")).agg(F.max(finite).alias("weight"))
         mean = named.where("weight > 0").agg(F.avg("weight")).scalar()
         counts = counts.join(named, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
         counts = counts.withColumn("weight", F.coalesce(F.when(F.col("weight") > 0, F.col("weight")), mean, F.lit(1.0)))
+    blocks = ((F.col("rows") + (block_rows - 1)) / block_rows).cast("long").alias("blocks")
+    if frame is None:
+        return counts.select("source", blocks, "weight")
     total = counts.agg(F.sum("weight")).scalar()
     return counts.select(
         "source",
-        ((F.col("rows") + (block_rows - 1)) / block_rows).cast("long").alias("blocks"),
+        blocks,
+        "weight",
         F.greatest(F.lit(1), F.round(F.col("weight") / total * frame)).cast("long").alias("share"),
     )
 
 
+def exact_schedule(sources: list[tuple[int, float]]) -> list[tuple[array, array, array]]:
+    """(slot, release, deadline) of each block of each source, sources being (blocks, weight)."""
+    exact = [Fraction(weight) for _, weight in sources]
+    scale = lcm(*[x.denominator for x in exact])
+    blocks, weight = [n for n, _ in sources], [int(x * scale) for x in exact]
+    ends = sorted(range(len(sources)), key=lambda i: Fraction(blocks[i], weight[i]))
+    out = []
+    for mine, w in zip(blocks, weight):
+        # begun[j] and done[j]: the slots in which the ideal mix comes to j blocks, rounded down and up
+        begun, done = array("q"), array("q")
+        used, running, j = 0, sum(weight), 0
+        for i in ends:
+            until = min(mine, -(-blocks[i] * w // weight[i]))
+            begun.extend(used + running * k // w for k in range(j, until))
+            done.extend(used - (-running * k // w) for k in range(j, until))
+            used, running, j = used + blocks[i], running - weight[i], max(j, until)
+            if j == mine:
+                break
+        # all that is left ends together with this source or later
+        total = sum(min(Fraction(n), Fraction(mine * v, w)) for n, v in zip(blocks, weight))
+        done.append(-(-total.numerator // total.denominator))
+        out.append((array("q"), begun, done[1:]))
+    coming, ready = [(0, i) for i in range(len(sources))], []
+    heapify(coming)
+    for slot in range(sum(blocks)):
+        while coming and coming[0][0] <= slot:
+            i = heappop(coming)[1]
+            heappush(ready, (out[i][2][len(out[i][0])], i))
+        i = heappop(ready)[1]
+        slots, begun, _ = out[i]
+        slots.append(slot)
+        if len(slots) < blocks[i]:
+            heappush(coming, (begun[len(slots)], i))
+    return out
+
+
+def with_exact_times(rows: DataFrame, source: str, plan: DataFrame) -> DataFrame:
+    """rows with the release, deadline and slot of their mix_block."""
+    spark, known = rows.sparkSession, plan.orderBy("source").collect()
+    times = exact_schedule([(r["blocks"], r["weight"]) for r in known])
+    pieces = [(i, lo // CHUNK) for i, r in enumerate(known) for lo in range(0, r["blocks"], CHUNK)]
+    columns = [pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.int64())]
+    columns += [pa.array([times[i][k][c * CHUNK : (c + 1) * CHUNK] for i, c in pieces], pa.list_(pa.int64())) for k in range(3)]
+    table = spark.createDataFrame(pa.table(columns, names=["_mix_at", "_mix_piece", "_mix_slots", "_mix_releases", "_mix_deadlines"]))
+    names = spark.createDataFrame([(r["source"], i) for i, r in enumerate(known)], T.StructType([T.StructField("_mix_source", plan.schema["source"].dataType), T.StructField("_mix_of", T.IntegerType())]))
+    names = F.broadcast(names) if len(known) <= BROADCAST_SOURCES else names
+    table = F.broadcast(table) if sum(r["blocks"] for r in known) <= BROADCAST_BLOCKS else table
+    rows = rows.join(names, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
+    rows = rows.join(table, (F.col("_mix_of") == F.col("_mix_at")) & (F.floor(F.col("mix_block") / CHUNK) == F.col("_mix_piece")), "left")
+    place = F.pmod(F.col("mix_block"), F.lit(CHUNK)).cast("int")
+    for c in ("release", "deadline", "slot"):
+        rows = rows.withColumn("mix_" + c, F.col(f"_mix_{c}s")[place])
+    return rows.drop("_mix_source", "_mix_of", *table.columns)
+
+
 def frame_schedules(plan: DataFrame) -> DataFrame:
     """(phase, source, block, slot, first, length, in_frame): the schedule of one frame for each composition of frames.
 
@@ -102,7 +179,7 @@ def mix_sources(
     id_column: str = "doc_id",
     weights: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
-    frame: int = FRAME,
+    frame: int | None = None,
 ) -> DataFrame:
     """All rows with mix_block, mix_release, mix_deadline, mix_slot and mix_seq added: read them by (mix_slot, mix_seq).
 
@@ -111,6 +188,7 @@ def mix_sources(
     the weight is the root of the source's rows. Rows with a null source are a source. Rows
     of a source come in the order of a hash bucket and the id; rows with equal
     ids in any order. The last block of a source may be short. No row is left out.
+    Weights that aren't finite count as none. With ``frame`` weights are rounded to blocks a frame.
     Columns of the five names are replaced. Empty tables stay empty.
     """
     docs = docs.drop(*COLUMNS)
@@ -120,6 +198,9 @@ def mix_sources(
     rank = free_name(docs, "_rank")
     bucket = F.pmod(F.xxhash64(F.col(id_column), F.lit("mix")), F.lit(BUCKETS))
     rows = numbered(docs, [source], bucket, [F.col(id_column)], rank, buckets=BUCKETS, few=small)
+    rows = rows.withColumn("mix_block", F.floor(F.col(rank) / block_rows)).withColumn("mix_seq", F.pmod(F.col(rank), F.lit(block_rows)).cast("int"))
+    if frame is None:
+        return with_exact_times(rows.drop(rank), source, plan)
     ends = F.expr("blocks div share")
     breaks = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.lit(0).cast("long"), ends, ends + 1)))))
     every = plan.agg(breaks).scalar()
@@ -127,7 +208,6 @@ def mix_sources(
     shares = plan.select(F.col("source").alias(names["source"]), F.col("share").alias(names["share"]), every.alias(names["breaks"]))
     rows = rows.join(sized(shares), F.col(source).eqNullSafe(F.col(names["source"])), "left").drop(names["source"])
     share, block = F.col(names["share"]), F.col("mix_block")
-    rows = rows.withColumn("mix_block", F.floor(F.col(rank) / block_rows)).withColumn("mix_seq", F.pmod(F.col(rank), F.lit(block_rows)).cast("int"))
     rows = rows.withColumn(names["frame"], F.floor(block / share)).withColumn(names["j"], F.pmod(block, share))
     phase = F.array_max(F.filter(F.col(names["breaks"]), lambda b: b <= F.col(names["frame"])))
     rows = rows.withColumn("_mix_of", phase)

@@ -108,6 +108,32 @@ def test_less_than_one_block_from_the_share(spark):
             assert abs(seen - t * n / 1000) < 1
 
 
+@pytest.mark.parametrize("rows, weights", [([4000, 8000], [1.0, 2.0]), ([9000, 20, 20], [5000.0, 1.0, 1.0]), ([3000, *[60] * 32], None), ([7, 900, 2500, 1], [0.3, 0.1, 0.7, 1e-3])])
+def test_less_than_one_block_from_the_true_weight_over_many_frames(spark, rows, weights):
+    names = [f"s{i:02}" for i in range(len(rows))]
+    docs = spark.range(sum(rows)).selectExpr("id as doc_id", "case " + " ".join(f"when id < {sum(rows[: i + 1])} then '{s}'" for i, s in enumerate(names)) + " end as source")
+    table = weights and spark.createDataFrame(list(zip(names, weights)), "source string, weight double")
+    got = mixing.mix_sources(docs, weights=table, block_rows=1).select("source", "mix_block", "mix_release", "mix_slot", "mix_deadline").sort("mix_slot").collect()
+    assert [r["mix_slot"] for r in got] == list(range(sum(rows)))
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+    weight = dict(zip(names, weights or [math.sqrt(n) for n in rows]))
+    ideal, left, seen = dict.fromkeys(names, 0.0), dict(zip(names, map(float, rows))), dict.fromkeys(names, 0)
+    for r in got:
+        assert r["mix_block"] == seen[r["source"]]
+        seen[r["source"]] += 1
+        time = 1.0
+        while time > 1e-9 and left:
+            total = sum(weight[s] for s in left)
+            step = min(time, min(left[s] * total / weight[s] for s in left))
+            for s in list(left):
+                ideal[s] += step * weight[s] / total
+                left[s] -= step * weight[s] / total
+                if left[s] < 1e-7:
+                    del left[s]
+            time -= step
+        assert all(abs(seen[s] - ideal[s]) < 1 + 1e-4 for s in names)
+
+
 def test_mixing_null_sources_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None), (None, None), (2, "a"), (2, "a")], "doc_id long, source string")
     got = mixing.mix_sources(docs, block_rows=1).collect()
