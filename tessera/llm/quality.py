@@ -4,6 +4,11 @@ Two generative models of hashed uni- and bigrams, of the target text and of all
 text, give each document the log of its importance weight: the sum of the log
 ratios of its n-grams. Gumbel top-k then draws k documents without replacement in
 proportion to the weights.
+
+A few toxic words vanish in such a sum, so toxic text is told by its strongest
+n-gram alone: of the labelled documents, how much more often toxic ones have it than
+others, less two standard errors. Documents beyond a limit have the weight 0. The
+limit is set on labelled documents that are held out.
 """
 
 from __future__ import annotations
@@ -21,6 +26,10 @@ BUCKETS = 10_000
 LABELLED = 20_000
 #: k leaves out this share of the labelled target documents at most.
 MISSED = 0.0005
+#: Toxic text is told by n-grams with a log ratio (less its error) of TOXIC_LEAST or more.
+TOXIC_LEAST = 1.0
+#: At most this share of the held-out documents that aren't toxic is taken for toxic.
+TOXIC_MISSED = 0.005
 SEED = 17
 
 
@@ -85,6 +94,93 @@ def gram_models(docs: DataFrame, target: list[int], buckets: int = BUCKETS) -> n
     return np.log(target_share) - np.log(raw_share)
 
 
+def toxic_grams(hasher: Hasher, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every uni- and bigram, with A to Z as a to z."""
+    tokens = hasher.tokens(np.where((data >= 65) & (data <= 90), data | np.uint8(32), data), rows)
+    words = hasher.word_hashes(tokens)
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(tokens.of_row))
+    pairs = hasher.ngrams(words, 2)
+    ok = inside(tokens.of_row, 2, len(pairs))
+    return np.concatenate([words, pairs[ok]]), np.concatenate([row, row[: len(pairs)][ok]])
+
+
+class Evidence:
+    """N-grams by their hash, with their evidence that a text is toxic."""
+
+    def __init__(self, grams: np.ndarray, evidence: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.evidence = grams[order], evidence[order]
+        self.low = np.uint64((1 << 20) - 1)
+        self.some = np.zeros(1 << 20, dtype=bool)
+        self.some[(grams & self.low).astype(np.int64)] = True
+
+    def strongest(self, hasher: Hasher, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The greatest evidence of the n-grams of each row, 0 at least."""
+        gram, row = toxic_grams(hasher, data, rows)
+        at = np.flatnonzero(self.some[(gram & self.low).astype(np.int64)])
+        gram, row = gram[at], row[at]
+        place = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        most = np.zeros(len(rows) - 1)
+        np.maximum.at(most, row, np.where(self.grams[place] == gram, self.evidence[place], 0.0))
+        return most
+
+
+def toxic_sample(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
+    """(doc_id, toxic, held) of up to ``limit`` labelled documents by a hash of doc_id; toxic if any label says so, every second one of a kind is held out."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    rows = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
+    found, turn = [], [0, 0]
+    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect():
+        found.append((r["doc_id"], r["toxic"], turn[r["toxic"]] % 2))
+        turn[r["toxic"]] += 1
+    return labels.sparkSession.createDataFrame(found, "doc_id long, toxic int, held int")
+
+
+def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[Evidence, float] | None:
+    """The evidence of n-grams and the limit from which on a document is toxic; None where labels tell nothing.
+
+    Half of the labelled documents give the evidence, half the limit.
+    """
+    sample = toxic_sample(labels)
+    known = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic", "held")
+    sizes = {(r["held"], r["toxic"]): r["n"] for r in known.groupBy("held", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not all(sizes.get((0, toxic)) for toxic in (0, 1)):
+        return None
+
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            toxic = np.asarray(batch.column(1)) == 1
+            for lo, hi, data, rows in blocks(batch.column(0)):
+                gram, row = toxic_grams(hasher, data, rows)
+                order = np.lexsort((row, gram))
+                gram, row = gram[order], row[order]
+                once = np.ones(len(gram), dtype=bool)
+                once[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+                gram, bad = gram[once], toxic[lo:hi][row[once]]
+                seen, at = np.unique(gram, return_inverse=True)
+                counts = [np.bincount(at, weights=x, minlength=len(seen)).astype(np.int64) for x in (bad, ~bad)]
+                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), *map(pa.array, counts)], names=["gram", "bad", "fine"])
+
+    grams = known.where("held = 0").select("text", "toxic").mapInArrow(run, "gram long, bad long, fine long").groupBy("gram").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
+    share = f"ln((bad + 0.5) / {sizes[0, 1] + 1}) - ln((fine + 0.5) / {sizes[0, 0] + 1})"
+    told = grams.withColumn("evidence", F.expr(f"{share} - 2 * sqrt(1 / (bad + 0.5) + 1 / (fine + 0.5))")).where(F.col("evidence") >= TOXIC_LEAST).select("gram", "evidence").collect()
+    if not told:
+        return None
+    evidence = Evidence(np.array([r["gram"] for r in told], dtype=np.int64).view(np.uint64), np.array([r["evidence"] for r in told]))
+    shared = docs.sparkSession.sparkContext.broadcast(evidence)
+
+    def score(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for _, _, data, rows in blocks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.strongest(hasher, data, rows))], names=["most"])
+
+    fine = sorted((r["most"] for r in known.where("held = 1 and toxic = 0").select("text").mapInArrow(score, "most double").collect()), reverse=True)
+    over = fine[int(len(fine) * TOXIC_MISSED)] if fine else 0.0
+    return evidence, max(TOXIC_LEAST, float(np.nextafter(over, np.inf)))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -95,26 +191,29 @@ def gumbel(*key: Column | str, seed: int = SEED) -> Column:
     return -F.ln(-F.ln(u))
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """All columns of docs with n_grams, log_weight and gumbel_key (log_weight and noise) added.
+def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[Evidence, float] | None = None) -> DataFrame:
+    """All columns of docs with n_grams, log_weight and gumbel_key (log_weight and noise) added, without documents that ``toxic`` tells.
 
     A text without tokens has no n-grams and the weight 1 (log 0). Repeated
     rows share their noise.
     """
-    shared, buckets = docs.sparkSession.sparkContext.broadcast(ratio), len(ratio)
+    shared, buckets = docs.sparkSession.sparkContext.broadcast((ratio, toxic)), len(ratio)
     kept = docs.drop("n_grams", "log_weight", "gumbel_key")
     where = kept.columns.index("text")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches):
-        hasher, ratios = Hasher(), shared.value
+        hasher, (ratios, toxic) = Hasher(), shared.value
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
+            n, total, stays = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
             for lo, hi, data, rows in blocks(batch.column(where)):
                 bucket, row = bucketed(hasher, data, rows, buckets)
                 n[lo:hi] = np.bincount(row, minlength=hi - lo)
                 total[lo:hi] = np.bincount(row, weights=ratios[bucket], minlength=hi - lo)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.round(total, 6))], names=[*batch.schema.names, "n_grams", "log_weight"])
+                if toxic:
+                    stays[lo:hi] = toxic[0].strongest(hasher, data, rows) < toxic[1]
+            scored = pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.round(total, 6))], names=[*batch.schema.names, "n_grams", "log_weight"])
+            yield scored if stays.all() else scored.filter(pa.array(stays))
 
     scored = kept.mapInArrow(run, f"{names}, n_grams long, log_weight double")
     return scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id")))
@@ -162,11 +261,12 @@ def resample(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) ->
     """The documents that importance resampling keeps, with n_grams, log_weight and gumbel_key.
 
     With keep_columns all columns of docs are kept, else doc_id. Null and empty
-    texts are neutral (weight 1); without labels everything is kept.
+    texts are neutral (weight 1); without labels everything is kept. Documents told
+    as toxic have the weight 0 and are never drawn.
     """
     fit, held_out = labelled_sample(labels)
     ratio = gram_models(docs, fit)
-    scored = log_weights(docs if keep_columns else texts(docs), ratio)
+    scored = log_weights(docs if keep_columns else texts(docs), ratio, toxic_model(docs, labels))
     keys = written(scored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_grams", "log_weight", "gumbel_key"))
     k = sample_size(keys, held_out)
     if not keep_columns:

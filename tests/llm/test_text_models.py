@@ -43,6 +43,24 @@ def test_held_out_documents_are_told_apart(spark):
     assert sum(i in ids for i in bad) <= 0.1 * len(bad)
 
 
+def test_toxic_documents_go(spark):
+    rng = random.Random(5)
+    words = ["the", "of", "and", "in", "water", "stone", "light", "field", "river", "house"]
+    docs, labels = [], []
+    for i in range(900):
+        text, toxic = [rng.choice(words) for _ in range(rng.randint(20, 300))], rng.random() < 0.15
+        if toxic:
+            text[rng.randrange(len(text))] = rng.choice(["idiot", "Scum", "TRASH"])
+        docs.append((i, " ".join(text), toxic))
+        if i % 3 < 2:
+            labels.append((i, 1, int(toxic)))
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    ids = {r["doc_id"] for r in quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for toxic, least, most in ((True, 0, 0.02), (False, 0.98, 1)):
+        unseen = [i in ids for i, _, t in docs if t == toxic and i % 3 == 2]
+        assert least * len(unseen) <= sum(unseen) <= most * len(unseen)
+
+
 def test_log_weights_by_plain_counts(spark):
     docs, labels = corpus(2)
     docs = docs[:60] + [(900, None, True), (901, "", True), (None, "of of  of", True), (902, "é é é, x x", True)]
