@@ -89,7 +89,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         text.alias("text"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"),
-        F.hash(text).alias("k2"),
+        F.xxhash64(text).alias("k2"),
     )
 
 
@@ -138,7 +138,7 @@ def level(rows: DataFrame, window: int, n: int, before: int | None) -> DataFrame
                     places = np.diff(np.append(at, len(row))).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(gram[at].view(np.int64)), pa.array(k1[lo + row[at]]), pa.array(k2[lo + row[at]]), pa.array(places)], names=names)
 
-    seeds = rows.mapInArrow(run, "gram long, k1 long, k2 int, places int")
+    seeds = rows.mapInArrow(run, "gram long, k1 long, k2 long, places int")
     # a table, so that both sides of the join are plain shuffles, of which Spark splits large partitions
     again = written(seeds.groupBy("gram").agg(F.sum("places").alias("n")).where("n > 1").select("gram"))
     return seeds.join(again, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set("gram").alias("left"))
@@ -226,7 +226,7 @@ def places_of_runs(rows: DataFrame, window: int, n: int, before: int) -> DataFra
                 columns = [pa.array(r.core.view(np.int64)), pa.array(r.whole.view(np.int64)), pa.array(k1[lo + r.row]), pa.array(k2[lo + r.row]), pa.array(r.start)]
                 yield pa.RecordBatch.from_arrays(columns, names=["core", "run", "k1", "k2", "start"])
 
-    return rows.mapInArrow(run, "core long, run long, k1 long, k2 int, start int")
+    return rows.mapInArrow(run, "core long, run long, k1 long, k2 long, start int")
 
 
 def repeated_runs(kinds: DataFrame) -> DataFrame:

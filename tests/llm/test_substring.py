@@ -48,6 +48,17 @@ def test_by_brute_force(spark, window, first):
     assert got == brute(docs, window)
 
 
+def test_texts_with_one_32_bit_hash_keep_their_own_spans(spark):
+    from pyspark.sql import functions as F
+
+    passage, other = (" ".join(f"{x}{k}" for k in range(40)) for x in "pq")
+    texts = spark.range(200_000).select(F.explode(F.array(F.concat(F.lit(passage + " "), "id"), F.concat(F.lit(other + " "), "id"))).alias("text"))
+    alike = texts.groupBy(F.hash("text")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where(F.col("a").startswith("p") & F.col("b").startswith("q")).orderBy("a").first()
+    docs = [(None, alike["a"]), (None, alike["b"]), (7, passage + " x")]
+    got = substring.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), 35, 9).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(docs, 35)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.dedup_substrings(df).count() == 0
