@@ -39,6 +39,11 @@ ENDS = {
 FURNITURE = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus dialog footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion related respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
+#: What comes before or after such a word where the name tells of a page's state or layout.
+STATE_BEFORE = frozenset("has no not with without hide show".split())
+STATE_AFTER = frozenset("open closed enabled disabled".split())
+#: A named element with this share of the page's text is no furniture, where no article stands outside.
+MOST = 0.8
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
@@ -52,6 +57,7 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
+    """Whether the element goes with all that is in it, whatever that is."""
     if tag in DROPPED:
         return True
     if tag == "header" and not inside_article:
@@ -64,10 +70,19 @@ def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and _HIDDEN_STYLE.search(value):
             return True
-        if name in ("class", "id", "role"):
-            parts = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
-            if not FURNITURE.isdisjoint(parts):
-                return True
+    return False
+
+
+def named_furniture(tag: str, attributes: str) -> bool:
+    """Whether a class, id or role names furniture."""
+    if tag in ("html", "body", "main") or not attributes or not _NAMED.search(attributes):
+        return False
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id", "role"):
+            for word in unescape(m[2] or m[3] or m[4] or "").split():
+                parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()) if x]
+                if parts and parts[0] not in STATE_BEFORE and parts[-1] not in STATE_AFTER and not FURNITURE.isdisjoint(parts):
+                    return True
     return False
 
 
@@ -78,6 +93,8 @@ class Tree:
         self.tag, self.parent = ["#root"], [-1]
         #: (element, text, linked characters)
         self.blocks: list[tuple[int, str, int]] = []
+        #: Elements named as furniture.
+        self.named: set[int] = set()
 
     @classmethod
     def parse(cls, html: str) -> Tree:
@@ -175,7 +192,8 @@ class Tree:
                     close(found)
             if name in ENDS and (found := find(*ENDS[name])):
                 close(found)
-            if is_furniture(name, attributes, articles > 0):
+            named = named_furniture(name, attributes)
+            if is_furniture(name, attributes, articles > 0) or (named and name not in BLOCKS):
                 if name in BLOCKS or name in DROPPED:
                     end_block()
                 dropped.append(name)
@@ -185,11 +203,42 @@ class Tree:
             tree.tag.append(name)
             tree.parent.append(stack[-1])
             stack.append(len(tree.tag) - 1)
+            if named:
+                tree.named.add(len(tree.tag) - 1)
             links += name == "a"
             articles += name in ("article", "main")
         end_block()
+        if tree.named:
+            tree.drop_named()
         return tree
 
+    def drop_named(self) -> None:
+        """Drop the blocks of elements named as furniture.
+
+        Where no article or main element with text stands outside of all of them, those stay that hold
+        one (under no other name in between), are the only ones, or have MOST of the text.
+        """
+        n = len(self.tag)
+        text, under = [0] * n, [-1] * n
+        for node, words, _ in self.blocks:
+            text[node] += len(words)
+        for i in range(n - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+        for i in range(1, n):
+            under[i] = i if i in self.named else under[self.parent[i]]
+        articles = [i for i in range(n) if self.tag[i] in ("article", "main") and text[i]]
+        stay: set[int] = set()
+        if all(under[i] >= 0 for i in articles):
+            held = {under[i] for i in articles if under[i] != i} or {i for i in articles if under[i] == i}
+            for i in held | {i for i in self.named if not held and text[i] >= MOST * text[0]}:
+                while i > 0:
+                    stay.add(i)
+                    i = self.parent[i]
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]] or (i in self.named and i not in stay)
+        self.blocks = [x for x in self.blocks if not gone[x[0]]]
+
     def scores(self) -> list[float]:
         """Points of each element, discounted by the share of linked text in it."""
         n = len(self.tag)

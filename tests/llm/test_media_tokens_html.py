@@ -125,6 +125,24 @@ def test_article_of_a_page():
     assert html.main_text(PAGE) == "Head <1>\nFirst, one two.\nSecond é! paragraph.\nx\ny\nThird.\nLast"
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div class='content has-sidebar'>", "</div>"),
+        ("<div id='page' class='no-header'>", "</div>"),
+        ("<article class='post comments-open'>", "</article>"),
+        ("<article class='post widget'>", "</article>"),
+        ("<div class='layout sidebar'><article>", "</article></div>"),
+        ("<div class='ad-free overlay'><div class=story>", "</div></div>"),
+    ],
+)
+def test_wrappers_named_like_furniture(before, after):
+    body = "<p>" + "</p><p>".join("Some words, and more of them, to fill a line of text. " * 4 for _ in range(3)) + "</p>"
+    page = f"<body>{before}{body}<div class=comments><p>a, comment, of some, one</p></div>{after}<div class=sidebar><p>Also, read</p></div>"
+    text = html.main_text(page)
+    assert text.count("fill a line") == 12 and "comment" not in text and "Also" not in text
+
+
 def test_pages_without_an_article_element():
     body = "".join(f"<p>Sentence {k}, with, commas, and enough of a length to be a paragraph.</p>" for k in range(4))
     page = f"<body><div class=menu><a href=x>a, b, c</a></div><div><div id=c>{body}<h3>End</h3>tail text</div><div class=related>no, no, no</div></div><p>(c) x"
