@@ -9,14 +9,17 @@ block of its own).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _BLOCK_BYTES = 1 << 20
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 _SEED = 20240229
+#: Longer words are hashed one by one.
+_SHORT = 64
+#: The lowest 0 to 8 bytes of a value.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,9 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Values of bytes, their classes for words (0: between words), for tokens (1: letters, digits, 2: signs), lower case."""
-    byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_SEED))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in their order; mixing at every step leaves no structure that equal sums could come from."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C17) + b)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of bytes for words (0: between words), for tokens (1: letters, digits, 2: signs), and lower case."""
     word = np.ones(256, dtype=np.uint8)
     word[[0x20, *range(0x09, 0x0E)]] = 0
     token = np.full(256, 2, dtype=np.uint8)
@@ -38,27 +45,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     token[word == 0] = 0
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
-    return byte, word, token, lower
-
-
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-
-            def grow(base: int) -> np.ndarray:
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                return np.cumprod(steps, dtype=np.uint64)
-
-            self.up, self.down = grow(self.base), grow(self.inverse)
-        return self.up[:n], self.down[:n]
+    return word, token, lower
 
 
 class Words:
@@ -83,11 +70,15 @@ class Words:
 
 
 class Hasher:
-    """Hashes of words and of word n-grams; keeps its tables between blocks."""
+    """Hashes of words and of word n-grams.
+
+    Words are taken 8 bytes at a time; each step mixes and then adds the bytes again, so
+    that no step can be undone and no words are known that share a hash (a sum over
+    bytes has such words, for example the Thue-Morse ones). Words of over 64 bytes get 64 bits of BLAKE2b.
+    """
 
     def __init__(self) -> None:
-        self.byte, self.word, self.token, self.lower = _tables()
-        self.bytes, self.words = Powers(_BYTE_BASE), Powers(_WORD_BASE)
+        self.word, self.token, self.lower = _tables()
 
     def split(self, data: np.ndarray, rows: np.ndarray) -> Words:
         return Words(data, rows, self.word)
@@ -97,18 +88,38 @@ class Hasher:
         return Words(data, rows, self.token)
 
     def word_hashes(self, w: Words) -> np.ndarray:
-        up, down = self.bytes.to(len(w.data) + 1)
-        total = np.zeros(len(w.data) + 1, dtype=np.uint64)
-        np.cumsum(self.byte[w.data] * up[:-1], out=total[1:])
-        return mix((total[w.ends] - total[w.starts]) * down[w.starts])
+        sizes = w.ends - w.starts
+        padded = np.append(w.data, np.zeros(8, dtype=np.uint8))
+        eight = np.ndarray(len(w.data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        out = mix(sizes.astype(np.uint64) + np.uint64(_SEED))
+        for k in range(0, _SHORT, 8):
+            at = np.flatnonzero(sizes > k) if k else slice(None)
+            if k and not len(at):
+                break
+            part = eight[w.starts[at] + k] & _MASKS[np.minimum(sizes[at] - k, 8)]
+            out[at] = mix(out[at] * np.uint64(0xD6E8FEB86659FD93) + part) + part * np.uint64(0xA0761D6478BD642F)
+        for i in np.flatnonzero(sizes > _SHORT).tolist():
+            out[i] = int.from_bytes(blake2b(w.data[w.starts[i] : w.ends[i]], digest_size=8).digest(), "little")
+        return mix(out)
 
     def ngrams(self, words: np.ndarray, n: int) -> np.ndarray:
-        """Hash of the n words from each position; rows are not looked at."""
+        """Hash of the n words from each position; rows are not looked at.
+
+        Hashes of 1, 2, 4 ... words are joined to n as its binary digits say.
+        """
         count = max(0, len(words) - n + 1)
-        up, down = self.words.to(len(words) + 1)
-        total = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * up[:-1], out=total[1:])
-        return mix((total[n : n + count] - total[:count]) * down[:count] + np.uint64(n))
+        if not count:
+            return np.zeros(0, dtype=np.uint64)
+        power, width, rest, have, total = words, 1, n, 0, words
+        while True:
+            if rest & 1:
+                total = joined(total[: len(words) - have - width + 1], power[have:]) if have else power
+                have += width
+            rest >>= 1
+            if not rest:
+                return mix(total + np.uint64(n))
+            power = joined(power[:-width], power[width:])
+            width *= 2
 
 
 def inside(of_row: np.ndarray, n: int, count: int) -> np.ndarray:
