@@ -6,18 +6,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, a temporary one on a local master and an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if "path" not in _OWN:
         _OWN["path"] = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, _OWN["path"], ignore_errors=True)
@@ -33,7 +37,19 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no plan needs any more."""
+    for table in tables:
+        known, path = _PATHS.pop(id(table), (None, ""))
+        if known and known() is table:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -55,6 +71,7 @@ def numbered(
     there are ``few`` groups. The order is (bucket, order).
     """
     b, n, start = free_name(df, "_bucket"), free_name(df, "_count"), free_name(df, "_start")
+    of = {k: free_name(df, "_of_" + k) for k in [*groups, b]}
     df = df.withColumn(b, bucket.cast("int"))
     before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     keys = [*groups, b]
@@ -62,13 +79,13 @@ def numbered(
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias(n))
         .withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0)))
-        .select(*[F.col(k).alias("_of_" + k) for k in keys], start)
+        .select(*[F.col(k).alias(of[k]) for k in keys], start)
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     rows = df.withColumn(out, F.row_number().over(inside).cast("long") - 1)
-    match = [rows[k].eqNullSafe(starts["_of_" + k]) for k in keys]
+    match = [rows[k].eqNullSafe(starts[of[k]]) for k in keys]
     return (
         rows.join(F.broadcast(starts) if few else starts, match)
         .withColumn(out, F.col(out) + F.col(start))
-        .drop(b, start, *["_of_" + k for k in keys])
+        .drop(b, start, *of.values())
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round points nodes to a smaller one; a star of each component is left
     after a number of rounds that grows with the logarithm of its size. Each round
-    is written, and only sums go to the driver.
+    is written, the one before is deleted, and only sums go to the driver. Edges of a node to
+    itself are left out.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -24,15 +25,15 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(row)
 
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (seen := summary(now)) != before:
-        before = seen
+    before, seen = None, summary(now)
+    while seen != before:
         pairs = both(now)
         # the least neighbours are written, so that a node with very many edges can be split in the joins
         low = written(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = pairs.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = written(small.where("a <> b").distinct())
+        large = written(pairs.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        after = written(small.where("a <> b").distinct())
+        discard(now, low, large, least)
+        now, before, seen = after, seen, summary(after)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
