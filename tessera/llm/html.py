@@ -2,13 +2,15 @@
 
 Each block of text gives points for its length and commas to the elements around
 it, the nearest first; an element's points are discounted by its share of linked
-text. The best container and those of its siblings that look alike are kept,
-without menus, notices, adverts, forms, comments and other furniture.
+text. The best container and those of its siblings that have little linked text are kept,
+without menus, notices, adverts, forms, comments and other furniture. The time is in
+proportion to the page: each character is looked at a bounded number of times.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -18,9 +20,9 @@ from pyspark.sql import functions as F
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript noframes noembed xmp template".split())
-DROPPED = frozenset("head nav footer aside form button select option input label fieldset dialog svg math canvas object audio video map menu script style textarea title iframe noscript noframes noembed template".split())
+DROPPED = frozenset("head nav footer aside button select option input label fieldset dialog svg math canvas object audio video map menu script style textarea title iframe noscript noframes noembed template".split())
 BLOCKS = frozenset(
-    "html body address article blockquote center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "html body address article blockquote center dd details dir div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 PARAGRAPHS = frozenset("p li dd dt td th pre blockquote figcaption caption summary h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -42,15 +44,22 @@ FURNITURE = frozenset(
 #: What comes before or after such a word where the name tells of a page's state or layout.
 STATE_BEFORE = frozenset("has no not with without hide show".split())
 STATE_AFTER = frozenset("open closed enabled disabled".split())
-#: A named element with this share of the page's text is no furniture, where no article stands outside.
-MOST = 0.8
+#: Those of them that name reader comments.
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: A named element with this share of the unlinked text is no furniture, where no article stands apart from it.
+MOST = 0.5
+#: Paragraphs of an advert or the like that holds most of its article: it isn't closed where it should be.
+PARAGRAPHS_OF_MOST = 3
+#: Elements inside each other at most; those further in are taken as part of the last one.
+DEEPEST = 512
+#: So many tags with quotes that aren't closed, and quotes aren't looked at any more.
+UNCLOSED = 16
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+_OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
+_PLAIN = r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
+_TAG = re.compile(_OTHER + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""" + _PLAIN, re.S)
+_TAG_WITHOUT_QUOTES = re.compile(_OTHER + r"|<(?!)()()()" + _PLAIN, re.S)
+_COMMENT = re.compile(r"<!--.*", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMED = re.compile(r"class|id\b|role|hidden|style", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -73,17 +82,22 @@ def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def named_furniture(tag: str, attributes: str) -> bool:
-    """Whether a class, id or role names furniture."""
-    if tag in ("html", "body", "main") or not attributes or not _NAMED.search(attributes):
-        return False
+def named_furniture(tag: str, attributes: str) -> str | None:
+    """The word of a class, id or role that names furniture, one for comments first."""
+    if tag in ("html", "body", "main"):
+        return None
+    found = tag if tag == "form" else None
+    if not attributes or not _NAMED.search(attributes):
+        return found
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
             for word in unescape(m[2] or m[3] or m[4] or "").split():
                 parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()) if x]
                 if parts and parts[0] not in STATE_BEFORE and parts[-1] not in STATE_AFTER and not FURNITURE.isdisjoint(parts):
-                    return True
-    return False
+                    if not COMMENTS.isdisjoint(parts):
+                        return "comments"
+                    found = found or next(x for x in parts if x in FURNITURE)
+    return found
 
 
 class Tree:
@@ -93,14 +107,16 @@ class Tree:
         self.tag, self.parent = ["#root"], [-1]
         #: (element, text, linked characters)
         self.blocks: list[tuple[int, str, int]] = []
-        #: Elements named as furniture.
-        self.named: set[int] = set()
+        #: Elements named as furniture, and the word that names them.
+        self.named: dict[int, str] = {}
 
     @classmethod
     def parse(cls, html: str) -> Tree:
         tree = cls()
         stack, pieces, linked = [0], [], 0
         dropped: list[str] = []
+        #: How many elements of a name are open, in ``dropped``, and too far in to be kept.
+        opened, in_dropped, beyond = Counter(), Counter(), Counter()
         links, articles = 0, 0
 
         def end_block() -> None:
@@ -131,9 +147,12 @@ class Tree:
             for x in stack[at:]:
                 links -= tree.tag[x] == "a"
                 articles -= tree.tag[x] in ("article", "main")
+                opened[tree.tag[x]] -= 1
             del stack[at:]
 
         def find(names: tuple[str, ...], until: tuple[str, ...]) -> int:
+            if not any(opened[x] for x in names):
+                return 0
             for at in range(len(stack) - 1, 0, -1):
                 if tree.tag[stack[at]] in names:
                     return at
@@ -141,12 +160,14 @@ class Tree:
                     return 0
             return 0
 
-        at, size = 0, len(html)
+        at, size, last, unclosed = 0, len(html), html.rfind(">") + 1, 0
         while at < size:
-            m = _TAG.search(html, at)
+            # behind the last > there are no tags
+            m = (_TAG if unclosed < UNCLOSED else _TAG_WITHOUT_QUOTES).search(html, at, last) if at < last else None
             if not m:
-                add_text(html[at:])
+                add_text(_COMMENT.sub("", html[at:]))
                 break
+            unclosed += m[5] is not None
             if m.start() > at:
                 add_text(html[at : m.start()])
             at = m.end()
@@ -154,15 +175,23 @@ class Tree:
             if not name:
                 if m[0].startswith("<![CDATA["):
                     add_text(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                elif m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    break
                 continue
             name, attributes = name.lower(), (m[3] if m[2] else m[6]) or ""
             if m[1] or m[4]:
                 if dropped:
-                    if name in dropped:
-                        while dropped.pop() != name:
-                            pass
+                    if in_dropped[name]:
+                        while (gone := dropped.pop()) != name:
+                            in_dropped[gone] -= 1
+                        in_dropped[name] -= 1
                     elif name in ("body", "html"):
                         dropped.clear()
+                        in_dropped.clear()
+                elif beyond[name]:
+                    beyond[name] -= 1
+                    if name in BLOCKS:
+                        end_block()
                 elif name == "br":
                     add_text(" ")
                 elif found := find((name,), () if name in ("body", "html") else ("td", "th", "table") if name not in BLOCKS else ()):
@@ -184,8 +213,10 @@ class Tree:
             if dropped:
                 if name == "body" and dropped == ["head"]:
                     dropped.clear()
+                    in_dropped.clear()
                 else:
                     dropped.append(name)
+                    in_dropped[name] += 1
                     continue
             if name == "p" or name in CLOSES_P:
                 if found := find(("p",), ("td", "th", "table", "li", "article", "section", "div", "blockquote")):
@@ -197,14 +228,19 @@ class Tree:
                 if name in BLOCKS or name in DROPPED:
                     end_block()
                 dropped.append(name)
+                in_dropped[name] += 1
                 continue
             if name in BLOCKS:
                 end_block()
+            if len(stack) > DEEPEST:
+                beyond[name] += 1
+                continue
+            opened[name] += 1
             tree.tag.append(name)
             tree.parent.append(stack[-1])
             stack.append(len(tree.tag) - 1)
             if named:
-                tree.named.add(len(tree.tag) - 1)
+                tree.named[len(tree.tag) - 1] = named
             links += name == "a"
             articles += name in ("article", "main")
         end_block()
@@ -216,21 +252,33 @@ class Tree:
         """Drop the blocks of elements named as furniture.
 
         Where no article or main element with text stands outside of all of them, those stay that hold
-        one (under no other name in between), are the only ones, or have MOST of the text.
+        one (under no other name in between), and those with MOST of the page's unlinked text. Inside an article
+        those stay that have MOST of it, in several paragraphs. Comments only stay around the only article.
         """
         n = len(self.tag)
-        text, under = [0] * n, [-1] * n
-        for node, words, _ in self.blocks:
-            text[node] += len(words)
+        text, paragraphs, under, article = [0] * n, [0] * n, [-1] * n, [0] * n
+        for node, words, in_links in self.blocks:
+            text[node] += len(words) - in_links
+            paragraphs[node] += self.tag[node] in PARAGRAPHS
         for i in range(n - 1, 0, -1):
             text[self.parent[i]] += text[i]
+            paragraphs[self.parent[i]] += paragraphs[i]
         for i in range(1, n):
             under[i] = i if i in self.named else under[self.parent[i]]
+            article[i] = i if self.tag[i] in ("article", "main") else article[self.parent[i]]
         articles = [i for i in range(n) if self.tag[i] in ("article", "main") and text[i]]
         stay: set[int] = set()
+        held: set[int] = set()
         if all(under[i] >= 0 for i in articles):
             held = {under[i] for i in articles if under[i] != i} or {i for i in articles if under[i] == i}
-            for i in held | {i for i in self.named if not held and text[i] >= MOST * text[0]}:
+        for i, name in self.named.items():
+            around = article[self.parent[i]]
+            most = name != "comments" and text[i] >= MOST * text[around] > 0
+            if around:
+                most = most and paragraphs[i] >= PARAGRAPHS_OF_MOST
+            elif articles:
+                most = False
+            if i in held or most:
                 while i > 0:
                     stay.add(i)
                     i = self.parent[i]
@@ -267,13 +315,19 @@ class Tree:
         up = best
         while up > 0 and self.tag[up] not in ("article", "main"):
             up = self.parent[up]
-        best = up or best
+        named = up > 0 and self.linked[up] < 0.5 * self.text[up]
+        best = up if named else best
         least = max(10.0, 0.2 * score[best])
+        solid = {node for node, words, _ in self.blocks if self.tag[node] in PARAGRAPHS or len(words) >= 80}
+        for node in sorted(solid, reverse=True):
+            while node > 0 and self.parent[node] not in solid:
+                node = self.parent[node]
+                solid.add(node)
         found = {best}
         for i in range(1, len(self.tag)):
             if self.parent[i] == self.parent[best] and i != best and self.text[i]:
-                density = self.linked[i] / self.text[i]
-                if score[i] >= least or (self.tag[i] == "p" and density < 0.25 and self.text[i] > 80):
+                # beside an article only what scores like one; elsewhere all paragraphs and what holds some
+                if score[i] >= least or (not named and i in solid and self.linked[i] < 0.25 * self.text[i]):
                     found.add(i)
         return found
 
