@@ -1,14 +1,13 @@
 """N-gram Jaccard join by prefix trees, exact, and its connected components.
 
-The n-grams of all documents have one global order: those in busy buckets of a
-count sketch last, the rest by hash. Two sets that reach the threshold share one of
-their first n - ceil(threshold n) + 1 n-grams in that order (their prefixes), so the sets
-meet below the shared n-grams, the first level of a prefix tree. Equal
-sets are one node from the start. Under an n-gram of few sets, positions and counts by hash
-range bound the overlap of a pair before the sets themselves are fetched.
-Sets that are left, and the sets under an n-gram of many, are stored in a trie in
-global order; a probe walks it once, sharing the overlap of common beginnings, and leaves out
-subtrees in which the remaining lengths can't reach the threshold.
+The n-grams of all documents have one global order: frequent ones last, by a count of all
+n-grams in 2**28 slots of which the most frequent million have a place of their own, the rest by hash. Two
+sets that reach the threshold share one of their first n - ceil(threshold n) + 1 n-grams in that order
+(their prefixes). The sets under an n-gram go to the group of the least of them, so
+n-grams that the same sets share lead to one group, and a set is sent once a group. A
+group is a trie of whole sets in global order: a probe walks it once, sharing the
+overlap of common beginnings, and leaves out subtrees in which the remaining lengths
+can't reach the threshold, and those that are linked with it already. Equal sets are one from the start.
 """
 
 from __future__ import annotations
@@ -17,21 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import discard, free_name, written
 from .components import components
 from .text import Hasher, blocks, mix
 
 WORDS = 4
 PERCENT = 85
-SKETCH_BITS = 18
-RANGES = 256
-#: Up to so many sets under an n-gram are compared as pairs with bounds, more in a trie of whole sets.
-FEW = 256
-#: N-grams in one block of a trie; an n-gram with more sets is split into blocks that meet two by two.
-BLOCK_GRAMS = 2_000_000
+#: Bits of an n-gram's hash that are its slot in the count, and those of them that say which task counts it.
+SLOT_BITS, PART_BITS = 28, 12
+#: Slots with a place of their own in the order at most, and the sets that such a slot has at least.
+FREQUENT, LEAST = 1 << 20, 16
+#: N-grams that a task counts before it sends them.
+HELD = 1 << 22
+#: From this level (1,000 sets) on, the sets under an n-gram are first dealt to SALTS parts.
+HOT_LEVEL, SALTS = 13, 64
+#: Sets in a group that are compared by their counts in ranges, before texts are sent.
+BOUNDED = 1000
+#: N-grams in one block of a trie; a group with more is split into blocks.
+BLOCK_GRAMS = 1_000_000
 
 
 def least_overlap(x, y, percent: int):
@@ -56,10 +62,24 @@ def fingerprint(grams: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def ranked(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The n-grams as values in the global order: the class of their bucket, then 58 bits of the hash."""
-    busy = classes[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    return np.sort((busy.astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6)))
+class Order:
+    """The global order of n-grams: the level of their slot (0: not frequent), then 58 bits of the hash."""
+
+    def __init__(self, slots: np.ndarray, levels: np.ndarray):
+        by = np.argsort(slots)
+        self.slots, self.levels = slots[by].astype(np.uint32), levels[by].astype(np.uint64)
+        self.some = np.zeros(1 << 22, dtype=bool)
+        self.some[self.slots >> np.uint32(SLOT_BITS - 22)] = True
+
+    def ranked(self, grams: np.ndarray) -> np.ndarray:
+        """The n-grams as values in the global order, sorted."""
+        out = grams >> np.uint64(6)
+        at = np.flatnonzero(self.some[(grams >> np.uint64(42)).astype(np.int64)])
+        if len(at):
+            slot = (grams[at] >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+            place = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
+            out[at] |= np.where(self.slots[place] == slot, self.levels[place], np.uint64(0)) << np.uint64(58)
+        return np.sort(out)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -72,59 +92,126 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(id_.alias("doc_id"), text.alias("text"), F.coalesce(id_, F.lit(-(2**63))).alias("k1"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("k2"))
 
 
+def counts_by_range(grams: np.ndarray) -> bytes | None:
+    """How many of the n-grams are in each of 2**k equal ranges of hashes, two to four in one on average; None if over 255 are in one."""
+    bits = max(len(grams) // 2, 1).bit_length() - 1
+    counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(grams)])
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def profiles(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, k1, k2, n, fp, ranges of each row; and, with a null n, (bucket, grams) of the sketch buckets of each task."""
-    schema = "doc_id long, k1 long, k2 long, n int, fp long, ranges binary, bucket int, grams long"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-    names = [x.split()[0] for x in schema.split(", ")]
+    """doc_id, k1, k2, n, fp and ranges (counts_by_range) of each row."""
+    names = ["doc_id", "k1", "k2", "n", "fp", "ranges"]
 
     def run(batches):
-        hasher, counts, seen = Hasher(), np.zeros(1 << SKETCH_BITS, dtype=np.int64), set()
+        hasher = Hasher()
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
-                n, fp, ranges, new = [], [], [], []
+                n, fp, ranges = [], [], []
                 for grams in shingle_sets(hasher, data, offsets, words):
                     n.append(len(grams))
                     fp.append(fingerprint(grams))
-                    each = np.bincount((grams >> np.uint64(6)).astype(np.int64) & (RANGES - 1), minlength=RANGES)
-                    ranges.append(each.astype(np.uint8).tobytes() if each.max() < 256 else None)
-                    if fp[-1] not in seen:
-                        seen.add(fp[-1])
-                        new.append(grams)
-                if new:
-                    counts += np.bincount((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                    ranges.append(counts_by_range(grams))
                 part = batch.slice(lo, hi - lo)
-                columns = [part.column(0), part.column(2), part.column(3), pa.array(n, kinds[3]), pa.array(fp, kinds[4]), pa.array(ranges, kinds[5]), pa.nulls(hi - lo, kinds[6]), pa.nulls(hi - lo, kinds[7])]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-        used = np.flatnonzero(counts)
-        if len(used):
-            columns = [pa.nulls(len(used), k) for k in kinds[:6]] + [pa.array(used, kinds[6]), pa.array(counts[used], kinds[7])]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(ranges, pa.binary())], names=names)
+
+    return rows.select("doc_id", "text", "k1", "k2").mapInArrow(run, "doc_id long, k1 long, k2 long, n int, fp long, ranges binary")
+
+
+def slots_of_tasks(rows: DataFrame, words: int) -> DataFrame:
+    """(part, once, more): the slots of a task's different sets by part, in 16 bits each; ``more`` are those of several sets, followed by their counts in 32 bits each."""
+    low_bits = SLOT_BITS - PART_BITS
+
+    def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
+        slots, sets = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(slots, np.arange((1 << PART_BITS) + 1, dtype=np.uint64) << np.uint64(low_bits))
+        low, one = (slots & np.uint32((1 << low_bits) - 1)).astype(np.uint16), sets == 1
+        used, once, more = np.flatnonzero(np.diff(edges)), [], []
+        for part in used.tolist():
+            here, single = slice(edges[part], edges[part + 1]), one[edges[part] : edges[part + 1]]
+            once.append(low[here][single].tobytes())
+            more.append(low[here][~single].tobytes() + sets[here][~single].astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["part", "once", "more"])
+
+    def run(batches):
+        hasher, seen, held, size = Hasher(), set(), [], 0
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0)):
+                for grams in shingle_sets(hasher, data, offsets, words):
+                    if len(grams) and (fp := fingerprint(grams)) not in seen:
+                        seen.add(fp)
+                        held.append((grams >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
+                        size += len(grams)
+                if size > HELD:
+                    yield batch_of(held)
+                    held, size = [], 0
+        if held:
+            yield batch_of(held)
 
-    return rows.select("doc_id", "text", "k1", "k2").mapInArrow(run, schema)
+    return rows.select("text").mapInArrow(run, "part int, once binary, more binary")
 
 
-def bucket_classes(profile: DataFrame) -> np.ndarray:
-    """For each sketch bucket 0, or the higher the more n-grams it has than the mean (one row for each bucket comes to the driver)."""
-    rows = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("grams").alias("grams")).toPandas()
-    counts = np.zeros(1 << SKETCH_BITS)
-    counts[rows["bucket"]] = rows["grams"]
-    return np.clip(4 * np.log2(np.maximum(counts, 1e-9) / max(1.0, counts.mean())), 0, 63).astype(np.uint8)
+def frequent_slots(rows: DataFrame, words: int) -> DataFrame:
+    """(slot, sets) of the slots that LEAST sets or more have; each part is counted in one array as its rows come in."""
+    dealt = slots_of_tasks(rows, words).repartition("part").sortWithinPartitions("part")
+    size = 1 << (SLOT_BITS - PART_BITS)
 
+    def run(batches):
+        part, counts = None, np.zeros(size, dtype=np.int64)
+
+        def found():
+            at = np.flatnonzero(counts >= LEAST)
+            return (at + part * size).astype(np.int32), counts[at]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["slot", "sets"])
 
-def prefixes(rows: DataFrame, shared, words: int, percent: int) -> DataFrame:
+        for batch in batches:
+            out = []
+            for p, once, more in zip(*[c.to_pylist() for c in batch.columns]):
+                if p != part:
+                    if part is not None:
+                        out.append(found())
+                    part, counts[:] = p, 0
+                counts[np.frombuffer(once, np.uint16)] += 1
+                n = len(more) // 6
+                counts[np.frombuffer(more, np.uint16, n)] += np.frombuffer(more[2 * n :], np.uint32)
+            if out:
+                yield batch_of(out)
+        if part is not None:
+            yield batch_of([found()])
+
+    return dealt.mapInArrow(run, "slot int, sets long")
+
+
+def global_order(rows: DataFrame, words: int) -> Order:
+    """The order by the count of all sets; at most FREQUENT slots come to the driver, whole levels from the most frequent down."""
+    found = written(frequent_slots(rows, words))
+    level = F.least(F.lit(63), F.floor(F.log2(F.col("sets") / LEAST) * 2) + 1).cast("int")
+    least, total = 64, 0
+    for r in found.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("slots")).orderBy(F.desc("level")).collect():
+        total += r["slots"]
+        if total > FREQUENT:
+            break
+        least = r["level"]
+    known = found.where(level >= least).select("slot", level.alias("level")).toPandas()
+    discard(found)
+    return Order(known["slot"].to_numpy(), known["level"].to_numpy())
+
+
+def prefixes(rows: DataFrame, order: Broadcast, words: int, percent: int) -> DataFrame:
     """(gram, fp, n, pos) of each prefix; a task gives those of equal sets once."""
     names, kinds = ["gram", "fp", "n", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
-        hasher, classes, seen = Hasher(), shared.value, set()
+        hasher, ranks, seen = Hasher(), order.value, set()
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 out = []
                 for grams in shingle_sets(hasher, data, offsets, words):
                     if len(grams) and (fp := fingerprint(grams)) not in seen:
                         seen.add(fp)
-                        out.append((ranked(grams, classes)[: prefix_length(len(grams), percent)], fp, len(grams)))
+                        out.append((ranks.ranked(grams)[: prefix_length(len(grams), percent)], fp, len(grams)))
                 if out:
                     sizes = [len(g) for g, _, _ in out]
                     columns = [
@@ -181,16 +268,19 @@ class Trie:
         for node, below in enumerate(children):
             parent[below] = node
         self.end, self.leaves = np.array(end), leaves
-        least = np.full(len(parent), 1 << 40)
-        most = np.zeros(len(parent), dtype=np.int64)
-        for node, here in enumerate(leaves):
-            if here:
-                n = self.size[here[0]]
-                up = node
-                while up >= 0 and (least[up] > n or most[up] < n):
-                    least[up], most[up] = min(least[up], n), max(most[up], n)
-                    up = parent[up]
-        self.least, self.most = least, most
+        size = self.size.tolist()
+        place = [0] * len(sets)
+        for at, i in enumerate(order):
+            place[i] = at
+        least, most, low, high = ([x] * len(begin) for x in (1 << 40, 0, len(sets), -1))
+        for node in np.argsort(-self.end, kind="stable").tolist():
+            below = [(size[i], size[i], place[i], place[i]) for i in leaves[node]] + [(least[c], most[c], low[c], high[c]) for c in children[node]]
+            least[node], most[node] = min(x[0] for x in below), max(x[1] for x in below)
+            low[node], high[node] = min(x[2] for x in below), max(x[3] for x in below)
+        #: the sets below a node: their sizes, and their places in the order of the leaves
+        self.least, self.most, self.low, self.high = (np.array(x) for x in (least, most, low, high))
+        self.order = np.array(order)
+        self.mark = np.zeros(len(self.values), dtype=np.int32)
         self.run = [self.sets[s][b:e] for s, b, e in zip(source, begin, end)]
         order = np.argsort(parent, kind="stable")
         sorted_parents = parent[order]
@@ -200,27 +290,35 @@ class Trie:
         self.run_length = np.array([len(r) for r in self.run])
         self.run_start = np.append(0, np.cumsum(self.run_length))[:-1]
         self.run_values = np.concatenate(self.run)
+        self.settle(np.arange(len(sets)))
+
+    def settle(self, component: np.ndarray) -> None:
+        """Note the components of the sets, and for each node that of all sets below it (-1: several)."""
+        self.component = component
+        leaves = component[self.order]
+        changes = np.append(0, np.cumsum(leaves[1:] != leaves[:-1]))
+        self.whole = np.where(changes[self.low] == changes[self.high], leaves[self.low], -1)
 
     def partners(self, i: int, percent: int) -> list[int]:
-        """The stored sets that reach the threshold with set i, itself included."""
-        mine, n = self.sets[i], int(self.size[i])
-        mark = np.zeros(len(self.values), dtype=np.int32)
+        """The stored sets of other components that reach the threshold with set i."""
+        mine, n, own = self.sets[i], int(self.size[i]), self.component[i]
+        mark = self.mark
         mark[mine] = 1
         found = []
         nodes, overlap = np.array([0]), np.array([0])
         while len(nodes):
             for node, shared in zip(nodes.tolist(), overlap.tolist()):
                 for j in self.leaves[node]:
-                    if shared >= least_overlap(n, int(self.size[j]), percent):
+                    if self.component[j] != own and shared >= least_overlap(n, int(self.size[j]), percent):
                         found.append(j)
             counts = self.child_to[nodes] - self.child_from[nodes]
-            keep = counts > 0
-            if not keep.any():
-                break
-            counts, nodes, overlap = counts[keep], nodes[keep], overlap[keep]
             within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             children = self.child_ids[np.repeat(self.child_from[nodes], counts) + within]
             overlap = np.repeat(overlap, counts)
+            ok = (self.whole[children] != own) & (self.most[children] * 100 >= percent * n) & (self.least[children] * percent <= 100 * n)
+            children, overlap = children[ok], overlap[ok]
+            if not len(children):
+                break
             lengths = self.run_length[children]
             inner = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             values = self.run_values[np.repeat(self.run_start[children], lengths) + inner]
@@ -228,158 +326,212 @@ class Trie:
             last = values[np.cumsum(lengths) - 1]
             rest = np.minimum(n - np.searchsorted(mine, last, side="right"), self.most[children] - self.end[children])
             ok = overlap + rest >= least_overlap(n, self.least[children], percent)
-            ok &= (self.most[children] * 100 >= percent * n) & (self.least[children] * percent <= 100 * n)
             nodes, overlap = children[ok], overlap[ok]
+        mark[mine] = 0
         return found
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the sets which the threshold joins, without a circle."""
+def spanning_links(sets: list[np.ndarray], percent: int, probes: list[int] | None = None) -> list[tuple[int, int]]:
+    """(set, least set of its component) for the components that the links of the probes (all sets) make."""
     if len(sets) < 2:
         return []
-    trie, root, links = Trie(sets), list(range(len(sets))), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i in range(len(sets)):
-        for j in trie.partners(i, percent):
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                links.append((i, j))
-    return links
-
-
-def candidate_keys(shared_grams: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(key1, key2, key3, fp): the sets to be compared, by the group in which they are."""
-    before = Window.partitionBy("fp").orderBy("pos")
-    grams = written(shared_grams.withColumn("prev", F.lag("gram").over(before)))
-    # two sets that also share the n-gram before this one meet there
-    groups = grams.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("sets"),
-        F.sum("n").alias("grams"),
-        F.count_if(F.col("prev").isNull()).alias("firsts"),
-        F.min("prev").alias("low"),
-        F.max("prev").alias("high"),
-    )
-    # tables, here and below, so that both sides of joins are plain shuffles, of which Spark splits large partitions
-    groups = written(groups.where("sets > 1 and (firsts > 0 or low < high)").select("gram", "sets", "grams"))
-    few = grams.join(groups.where(F.col("sets") <= FEW).select("gram"), "gram")
-    a = few.select("gram", *[F.col(c).alias(c + "_a") for c in ("fp", "n", "pos", "prev")])
-    b = few.select("gram", *[F.col(c).alias(c + "_b") for c in ("fp", "n", "pos", "prev")])
-    least = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
-    bound = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    pairs = (
-        a.join(b, "gram")
-        .where("fp_a < fp_b and (prev_a <> prev_b or prev_a is null or prev_b is null)")
-        .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        .where(bound >= least)
-        .select("fp_a", "fp_b")
-        .distinct()
-    )
-    side = lambda s: reps.select(F.col("fp").alias("fp_" + s), F.col("n").alias("n_" + s), F.col("ranges").alias("ranges_" + s))
-    pairs = pairs.join(side("a"), "fp_a").join(side("b"), "fp_b")
+    trie, component = Trie(sets), np.arange(len(sets))
+    for i in range(len(sets)) if probes is None else probes:
+        found = trie.partners(i, percent)
+        if found:
+            old = np.unique(component[[i, *found]])
+            component[np.isin(component, old)] = old[0]
+            trie.settle(component)
+            if not component.any():
+                break
+    return [(i, int(c)) for i, c in enumerate(component) if i != c]
 
-    def bounded(batches):
-        for batch in batches:
-            n = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("n_a", "n_b")]
-            ok = np.ones(batch.num_rows, dtype=bool)
-            both = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ranges_a", "ranges_b")]
-            known = [i for i, (x, y) in enumerate(zip(*both)) if x is not None and y is not None]
-            for lo in range(0, len(known), 4096):
-                part = known[lo : lo + 4096]
-                x, y = (np.frombuffer(b"".join(s[i] for i in part), np.uint8).reshape(-1, RANGES) for s in both)
-                ok[part] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= least_overlap(n[0][part].astype(np.int64), n[1][part], percent)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("fp_a", "fp_b")], names=["fp_a", "fp_b"]).filter(pa.array(ok))
-
-    pairs = written(pairs.mapInArrow(bounded, "fp_a long, fp_b long"))
-    key = [F.lit(0).cast("long").alias("key1"), F.col("fp_a").alias("key2"), F.lit(0).alias("key3")]
-    of_pairs = pairs.select(*key, F.col("fp_b").alias("fp")).unionByName(pairs.select(*key, F.col("fp_a").alias("fp")).distinct())
-    many = grams.join(groups.where(F.col("sets") > FEW), "gram")
-    count = F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int")
-    block = F.pmod(F.xxhash64("fp"), count).cast("int")
-    other = F.explode(F.sequence(F.lit(0), count - 1))
-    of_many = many.select("gram", "fp", block.alias("block"), other.alias("other")).select(
-        (F.lit(1) + F.least("block", "other")).cast("long").alias("key1"),
-        F.col("gram").alias("key2"),
-        F.greatest("block", "other").alias("key3"),
+
+def dealt_sets(prefix: DataFrame, percent: int) -> DataFrame:
+    """(pivot, fp, n): each set with the groups that it is compared in; a group's pivot is its least set.
+
+    The sets under an n-gram, in the order of their sizes, are cut where a size can't reach the next one;
+    each run of them goes to the group of its least set. A run of two is left out if their
+    positions can't reach the threshold, either.
+    """
+    hot = F.shiftrightunsigned("gram", 58) >= HOT_LEVEL
+    salted = prefix.withColumn("salt", F.when(hot, F.pmod("fp", F.lit(SALTS))).otherwise(0).cast("int"))
+    by_size = Window.partitionBy("gram", "salt").orderBy("n", "fp")
+    placed = salted.repartition("gram", "salt").distinct().withColumn("hot", hot)
+    placed = placed.withColumn("cut", ~F.col("hot") & (F.coalesce(F.lag("n").over(by_size), F.lit(0)) * 100 < F.col("n") * percent))
+    placed = placed.withColumn("last", F.coalesce(F.lead("cut").over(by_size), F.lit(True)))
+    placed = placed.withColumn("run", F.count_if("cut").over(by_size)).where(F.col("hot") | ~(F.col("cut") & F.col("last")))
+    under = Window.partitionBy("gram", "salt", "run")
+    shared = placed.select(
+        F.when(F.col("hot"), F.col("gram")).alias("gram"),
         "fp",
+        "n",
+        "pos",
+        F.min("fp").over(under).alias("pivot"),
+        F.count(F.lit(1)).over(under).alias("sets"),
+        (F.sum("n").over(under) - F.col("n")).alias("n2"),
+        (F.sum("pos").over(under) - F.col("pos")).alias("pos2"),
     )
-    return of_pairs.unionByName(of_many)
+    bound = F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    reach = bound >= F.expr(f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}")
+    found = written(shared.where(F.col("gram").isNotNull() | (F.col("sets") > 2) | reach).select("gram", "pivot", "fp", "n"))
+    busy = found.where("gram is not null")
+    pivots = busy.groupBy("gram").agg(F.min("pivot").alias("pivot"))
+    of_busy = busy.select("gram", "fp", "n").join(pivots, "gram").select("pivot", "fp", "n")
+    dealt = written(found.where("gram is null").select("pivot", "fp", "n").unionByName(of_busy).distinct())
+    discard(found)
+    return dealt
+
+
+def may_link(sizes: list[int], ranges: list[bytes | None], percent: int) -> list[bool]:
+    """For each set of a group whether the counts by range leave an overlap with another one that reaches the threshold."""
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    counts = [None if r is None else np.frombuffer(r, np.uint8).astype(np.int32) for r in ranges]
+    keep = [False] * len(sizes)
+    for at, i in enumerate(order):
+        for j in order[at + 1 :]:
+            if sizes[j] * percent > 100 * sizes[i]:
+                break
+            if keep[i] and keep[j]:
+                continue
+            x, y = counts[i], counts[j]
+            if x is not None and y is not None:
+                y = y.reshape(len(x), -1).sum(axis=1)
+                if int(np.minimum(x, y).sum()) < least_overlap(sizes[i], sizes[j], percent):
+                    continue
+            keep[i] = keep[j] = True
+    return keep
+
+
+def bounded(dealt: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """dealt without the sets that can't reach the threshold with another set of their group (groups of over BOUNDED sets stay whole)."""
+    rows = dealt.join(reps.select("fp", "ranges"), "fp").select("pivot", "fp", "n", "ranges")
+    grouped = rows.repartition("pivot").sortWithinPartitions("pivot")
 
+    def run(batches):
+        pivot, group = None, []
 
-def fetch_sets(rows: DataFrame, keys: DataFrame, reps: DataFrame, shared, words: int) -> DataFrame:
-    """(key1, key2, key3, fp, grams): each key's sets, taken from one document of each."""
-    wanted = keys.groupBy("fp").agg(F.collect_set(F.struct("key1", "key2", "key3")).alias("keys"))
-    wanted = wanted.join(reps.select("fp", "k1", "k2"), "fp")
-    found = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "fp", "keys")
-    names, kinds = ["key1", "key2", "key3", "fp", "grams"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        def close():
+            if len(group) > BOUNDED:
+                return [x[:2] for x in group]
+            return [x[:2] for x, ok in zip(group, may_link([x[1] for x in group], [x[2] for x in group], percent)) if ok]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1][0] for x in out], pa.int64()), pa.array([x[1][1] for x in out], pa.int32())], names=["pivot", "fp", "n"])
 
-    def run(batches):
-        hasher, classes = Hasher(), shared.value
         for batch in batches:
-            fps = batch.column(1).to_pylist()
-            for lo, hi, data, offsets in blocks(batch.column(0)):
-                lists = batch.column(2).slice(lo, hi - lo).to_pylist()
-                for fp, keys, grams in zip(fps[lo:hi], lists, shingle_sets(hasher, data, offsets, words)):
-                    stored = ranked(grams, classes).tobytes()
-                    for at in range(0, len(keys), 64):
-                        part = keys[at : at + 64]
-                        columns = [[k["key1"] for k in part], [k["key2"] for k in part], [k["key3"] for k in part], [fp] * len(part), [stored] * len(part)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+            out = []
+            for p, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if p != pivot:
+                    out += [(pivot, x) for x in close()]
+                    pivot, group = p, []
+                if len(group) > BOUNDED:
+                    row[2] = None
+                group.append(row)
+            yield batch_of(out)
+        yield batch_of([(pivot, x) for x in close()])
+
+    return grouped.mapInArrow(run, "pivot long, fp long, n int")
+
+
+def large_groups(dealt: DataFrame) -> DataFrame:
+    """(pivot, blocks) of the groups of more than one block."""
+    sizes = dealt.groupBy("pivot").agg(F.sum("n").alias("grams"))
+    return sizes.where(F.col("grams") > BLOCK_GRAMS).select("pivot", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int").alias("blocks"))
+
 
-    return found.mapInArrow(run, "key1 long, key2 long, key3 int, fp long, grams binary")
+def block_of(blocks_: Column) -> Column:
+    return F.pmod(F.xxhash64("fp"), blocks_).cast("int")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between fingerprints that join all that the threshold joins within each key."""
-    dealt = sets.repartition("key1", "key2", "key3").sortWithinPartitions("key1", "key2", "key3")
+def first_keys(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """(pivot, low, high, probe, fp): every block of a group by itself, each with the pivot in it."""
+    rows = dealt.join(large, "pivot", "left")
+    blocks_ = F.coalesce("blocks", F.lit(1))
+    places = F.when(F.col("fp") == F.col("pivot"), F.sequence(F.lit(0), blocks_ - 1)).otherwise(F.array(block_of(blocks_)))
+    return rows.select("pivot", "fp", F.explode(places).alias("low")).select("pivot", "low", F.col("low").alias("high"), F.lit(True).alias("probe"), "fp")
+
+
+def second_keys(dealt: DataFrame, large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(pivot, low, high, probe, fp): the pairs of blocks of a large group, for the sets that the first round didn't link with the pivot.
+
+    These are probes; a block goes to another one only for the other's probes.
+    """
+    named = roots.select(F.col("node").alias("fp"), "root")
+    of_pivot = large.join(named, F.col("pivot") == F.col("fp"), "left").select("pivot", "blocks", F.coalesce("root", "pivot").alias("pivot_root"))
+    rows = dealt.join(of_pivot, "pivot").join(named, "fp", "left")
+    rows = rows.select("pivot", "fp", "blocks", block_of(F.col("blocks")).alias("block"), (F.coalesce("root", "fp") != F.col("pivot_root")).alias("probe"))
+    open_ = rows.where("probe").groupBy("pivot").agg(F.collect_set("block").alias("open"))
+    others = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.col("open"))
+    rows = rows.join(open_, "pivot").select("pivot", "fp", "block", "probe", F.explode(others).alias("other")).where("block <> other")
+    return rows.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "probe", "fp")
+
+
+def links(rows: DataFrame, keys: DataFrame, reps: DataFrame, order: Broadcast, words: int, percent: int) -> DataFrame:
+    """(a, b): links between fingerprints that join all that the threshold joins within each key (pivot, low, high).
+
+    The text of one document of each set is sent once a key.
+    """
+    wanted = keys.groupBy("fp").agg(F.collect_list(F.struct("pivot", "low", "high", "probe")).alias("keys"))
+    wanted = wanted.join(reps.select("fp", "k1", "k2"), "fp")
+    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("fp", "text", F.explode("keys").alias("key")).select("key.*", "fp", "text")
+    dealt = texts.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
 
     def run(batches):
-        key, group = None, {}
+        hasher, ranks = Hasher(), order.value
+        key, fps, sets, probes = None, {}, [], []
 
         def close():
-            fps = list(group)
-            found = spanning_links([np.frombuffer(group[f], np.uint64) for f in fps], percent)
-            return [(fps[i], fps[j]) for i, j in found]
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            names = list(fps)
+            return [(names[i], names[j]) for i, j in spanning_links(sets, percent, probes)]
 
         for batch in batches:
             out = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for k1, k2, k3, fp, grams in zip(*columns):
-                if (k1, k2, k3) != key:
-                    out += close() if group else []
-                    key, group = (k1, k2, k3), {}
-                group[fp] = grams
-            yield batch_of(out)
-        yield batch_of(close() if group else [])
+            columns = [c.to_pylist() for c in batch.columns[:5]]
+            for lo, hi, data, offsets in blocks(batch.column(5)):
+                for at, grams in zip(range(lo, hi), shingle_sets(hasher, data, offsets, words)):
+                    pivot, low, high, probe, fp = (c[at] for c in columns)
+                    if (pivot, low, high) != key:
+                        out += close()
+                        key, fps, sets, probes = (pivot, low, high), {}, [], []
+                    if fp not in fps:
+                        if probe:
+                            probes.append(len(sets))
+                        fps[fp] = None
+                        sets.append(ranks.ranked(grams))
+            yield batch_of_links(out)
+        yield batch_of_links(close())
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def batch_of_links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
 def classes_and_roots(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A row for each document (profiles), for each set that isn't empty (fp, least_id, k1, k2), and for each linked set (node, root)."""
-    found = written(profiles(rows, words))
-    profile = found.where("n is not null")
-    shared = rows.sparkSession.sparkContext.broadcast(bucket_classes(found))
+    """A row for each document (profiles), for each set that isn't empty (fp, n, least_id, k1, k2), and for each linked set (node, root)."""
+    profile = written(profiles(rows, words))
     reps = written(
         profile.where("n > 0")
         .groupBy("fp", "n")
         .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("k"), F.first("ranges").alias("ranges"))
         .select("fp", "n", "least_id", "k.*", "ranges")
     )
-    grams = prefixes(rows, shared, words, percent)
-    again = written(grams.groupBy("gram").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("gram"))
-    shared_grams = grams.join(again, "gram", "left_semi").distinct()
-    keys = written(candidate_keys(shared_grams, reps, percent).distinct())
-    return profile, reps, components(links(fetch_sets(rows, keys, reps, shared, words), percent))
+    order = rows.sparkSession.sparkContext.broadcast(global_order(rows, words))
+    shared = dealt_sets(prefixes(rows, order, words, percent), percent)
+    dealt = written(bounded(shared, reps, percent))
+    discard(shared)
+    large = written(large_groups(dealt))
+    first = written(links(rows, first_keys(dealt, large), reps, order, words, percent))
+    if large.isEmpty():
+        roots = components(first)
+    else:
+        keys = written(second_keys(dealt, large, components(first)))
+        roots = components(first.unionByName(links(rows, keys, reps, order, words, percent)))
+        discard(keys)
+    discard(dealt, large, first)
+    return profile, reps, roots
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -36,6 +36,14 @@ def brute(docs, words, percent):
     return sorted(((i, len(s), least[find(k)] if s else i) for k, (i, s) in enumerate(sets)), key=repr)
 
 
+def grouped(links, count):
+    root = list(range(count))
+    for _ in range(count):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def corpus(seed):
     rng = random.Random(seed)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(400)]
@@ -54,16 +62,45 @@ def corpus(seed):
     return rows + [(3, docs[3]), (3, docs[9]), (None, docs[7]), (None, "nobody else has this text here"), (None, None)]
 
 
-@pytest.mark.parametrize("few, grams", [(256, 2_000_000), (2, 120), (1, 10**9)])
-def test_components_by_brute_force(spark, monkeypatch, few, grams):
-    monkeypatch.setattr(jaccard, "FEW", few)
+@pytest.mark.parametrize("grams, least, hot, bounded", [(1_000_000, 16, 13, 1000), (120, 2, 1, 1), (10**9, 3, 4, 3), (40, 16, 0, 1000)])
+def test_components_by_brute_force(spark, monkeypatch, grams, least, hot, bounded):
+    monkeypatch.setattr(jaccard, "BOUNDED", bounded)
     monkeypatch.setattr(jaccard, "BLOCK_GRAMS", grams)
-    docs = corpus(few)
+    monkeypatch.setattr(jaccard, "LEAST", least)
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", hot)
+    docs = corpus(hot)
     df = spark.createDataFrame([(i, t, 5, "z") for i, t in docs], "doc_id long, text string, n int, fp string").repartition(3)
     got = sorted((tuple(r) for r in jaccard.jaccard_components(df).collect()), key=repr)
     assert got == brute(docs, 4, 85)
 
 
+def test_words_made_to_collide_in_sums(spark):
+    """Thue-Morse words and their complements have equal sums in any base modulo 2**64."""
+    word = "a"
+    while len(word) < 8192:
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = [(k, " ".join([word[:n], "x", "y", "z"]).translate(swap)) for n in (512, 1024, 2048, 4096, 8192) for k, swap in ((2 * n, {}), (2 * n + 1, str.maketrans("ab", "ba")))]
+    got = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in got) == sorted(i for i, _ in docs)
+
+
+def test_order_counts_every_set_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST", 1)
+    monkeypatch.setattr(jaccard, "HELD", 50)
+    docs = corpus(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r["slot"]: r["sets"] for r in jaccard.frequent_slots(jaccard.keyed(df), 4).collect()}
+    hasher, want, seen = jaccard.Hasher(), {}, set()
+    for _, text in docs:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        for grams in jaccard.shingle_sets(hasher, data, np.array([0, len(data)]), 4):
+            if grams.tobytes() not in seen:
+                seen.add(grams.tobytes())
+                for g in grams.tolist():
+                    want[g >> 36] = want.get(g >> 36, 0) + 1
+    assert got == want
+
+
 def test_one_of_each(spark):
     docs = corpus(9)
     df = spark.createDataFrame([(i, t, 5, "z") for i, t in docs], "doc_id long, text string, k1 int, _place string").repartition(3)
@@ -87,11 +124,35 @@ def test_trie_finds_what_pairs_find():
             s = set(rng.choice(base))
             for _ in range(rng.randint(0, 6)):
                 s ^= {rng.randrange(300)}
-            if s:
+            if s and s not in sets:
                 sets.append(s)
         trie = jaccard.Trie([np.array(sorted(s), dtype=np.uint64) << np.uint64(40) for s in sets])
+        links = jaccard.spanning_links([np.array(sorted(s), dtype=np.uint64) << np.uint64(40) for s in sets], 85)
+        near = {(i, k) for i, a in enumerate(sets) for k, b in enumerate(sets) if i != k and 100 * len(a & b) >= 85 * len(a | b)}
+        assert grouped(links, len(sets)) == grouped(near, len(sets))
+        for i, a in enumerate(sets):
+            assert sorted(trie.partners(i, 85)) == [k for k, b in enumerate(sets) if k != i and 100 * len(a & b) >= 85 * len(a | b)]
+
+
+def test_counts_by_range_never_part_sets_that_link():
+    rng = random.Random(7)
+    for _ in range(60):
+        base = [[rng.getrandbits(64) for _ in range(rng.choice([1, 3, 20, 300, 2000]))] for _ in range(3)]
+        sets = [set(rng.choice(base)) for _ in range(rng.randint(1, 8))]
+        for s in sets:
+            for g in rng.sample(sorted(s), rng.randint(0, len(s) // 8)):
+                s.discard(g)
+                if rng.random() < 0.5:
+                    s.add(rng.randrange(2**64))
+        arrays = [np.array(sorted(s), dtype=np.uint64) for s in sets]
+        got = jaccard.may_link([len(s) for s in sets], [jaccard.counts_by_range(a) for a in arrays], 85)
         for i, a in enumerate(sets):
-            assert sorted(trie.partners(i, 85)) == [k for k, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b)]
+            if any(i != k and 100 * len(a & b) >= 85 * len(a | b) for k, b in enumerate(sets)):
+                assert got[i]
+    same = np.arange(600, dtype=np.uint64)
+    assert jaccard.counts_by_range(same) is None and jaccard.may_link([600, 600], [None, None], 85) == [True, True]
+    apart = [[rng.getrandbits(64) for _ in range(500)] for _ in range(6)]
+    assert not any(jaccard.may_link([500] * 6, [jaccard.counts_by_range(np.array(sorted(a), dtype=np.uint64)) for a in apart], 85))
 
 
 def test_empty_table(spark):
