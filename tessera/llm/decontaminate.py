@@ -21,102 +21,148 @@ BLOCK_BYTES = 8 << 20
 BLOCK_ITEMS = 50_000
 
 
-def greedy_tiles(doc: np.ndarray, item: np.ndarray, at_doc: np.ndarray, at_item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Tiles (start in doc, start in item, words), the longest first.
+def matching_runs(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """(start in doc, start in item, length) of the longest runs in which seeds of doc and item agree.
 
-    doc and item are word hashes; at_doc and at_item are the pairs of positions
-    where ``least`` words agree. Seeds that follow each other on a diagonal make
-    up a longer match. Of equal matches the one earlier in the item, then in
-    the document, is taken.
+    The item is walked seed by seed with the runs that are alive, so memory is in proportion to the document
+    however often words are repeated.
     """
-    tiles = []
-    free_doc, free_item = np.ones(len(doc), dtype=bool), np.ones(len(item), dtype=bool)
-    order = np.lexsort((at_doc, at_doc - at_item))
-    p, t = at_doc[order], at_item[order]
-    span = np.arange(least)
+    order = np.argsort(doc, kind="stable")
+    found = doc[order]
+    ended, at, since = [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for t in range(len(item) + 1):
+        lo, hi = (np.searchsorted(found, item[t], side) for side in ("left", "right")) if t < len(item) else (0, 0)
+        here = order[lo:hi]
+        if len(at):
+            place = np.minimum(np.searchsorted(here, at + 1), max(len(here) - 1, 0))
+            goes_on = (here[place] == at + 1) if len(here) else np.zeros(len(at), dtype=bool)
+            gone = ~goes_on
+            if gone.any():
+                length = t - since[gone]
+                ended.append(np.stack([at[gone] - length + 1, since[gone], length], axis=1))
+            begun = np.full(len(here), t)
+            begun[place[goes_on]] = since[goes_on]
+        else:
+            begun = np.full(len(here), t)
+        at, since = here, begun
+    return np.concatenate(ended) if ended else np.zeros((0, 3), dtype=np.int64)
+
+
+def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Tiles (start in doc, start in item, words), the longest first; doc and item are hashes of their seeds of ``least`` words.
+
+    Of equal matches the one earlier in the item, then in the document, is taken. What
+    a tile covers is cut out of the other matches.
+    """
+    tiles, runs = [], matching_runs(doc, item)
+    p, t, n = runs[:, 0], runs[:, 1], runs[:, 2] + least - 1
     while len(p):
-        ok = free_doc[p[:, None] + span].all(axis=1) & free_item[t[:, None] + span].all(axis=1)
-        p, t = p[ok], t[ok]
-        if not len(p):
-            break
-        first = np.ones(len(p), dtype=bool)
-        first[1:] = (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1] + 1)
-        begin = np.flatnonzero(first)
-        words = np.diff(np.append(begin, len(p))) + least - 1
-        best = begin[np.lexsort((p[begin], t[begin], -words))[0]]
-        n = int(words[np.searchsorted(begin, best)])
-        tiles.append((int(p[best]), int(t[best]), n))
-        free_doc[p[best] : p[best] + n] = False
-        free_item[t[best] : t[best] + n] = False
+        best = np.lexsort((p, t, -n))[0]
+        tile = int(p[best]), int(t[best]), int(n[best])
+        tiles.append(tile)
+        # what is left of each match before, between and behind the tile's words in the document and in the item
+        cuts = np.sort(np.stack([tile[0] - p, tile[1] - t], axis=1), axis=1)
+        begin = np.stack([np.zeros_like(p), np.clip(cuts[:, 0] + tile[2], 0, n), np.clip(cuts[:, 1] + tile[2], 0, n)])
+        end = np.stack([np.clip(cuts[:, 0], 0, n), np.clip(cuts[:, 1], 0, n), n])
+        left = end - begin >= least
+        p, t, n = (p + begin)[left], (t + begin)[left], (end - begin)[left]
     return tiles
 
 
 class Benchmark:
-    """A block of test items: their word hashes, and an index of their seeds."""
+    """A block of test items: their words, and an index of their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]], seed_words: int):
+    def __init__(self, items: list[tuple[int, str]], seed_words: int, coverage: float):
         hasher = Hasher()
         column = pa.array([text for _, text in items], pa.large_string())
+        self.coverage = coverage
         self.ids = [i for i, _ in items]
-        self.words: list[np.ndarray] = []
+        self.words: list[list[bytes]] = [text.encode().translate(hasher.lower.tobytes()).split() for _, text in items]
+        #: for each item its seeds in order; by seed length: sorted seeds, and for each the item; the seeds of all items
+        self.of_item: list[np.ndarray] = []
         for lo, hi, data, rows in blocks(column):
             split = hasher.split(hasher.lower[data], rows)
             hashes = hasher.word_hashes(split)
-            self.words += [hashes[split.of_row[r] : split.of_row[r + 1]] for r in range(hi - lo)]
-        #: by seed length: sorted seeds, and for each its item and position
-        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_length: dict[int, list[tuple[np.ndarray, int]]] = {}
+            for r in range(hi - lo):
+                words = hashes[split.of_row[r] : split.of_row[r + 1]]
+                self.of_item.append(hasher.ngrams(words, max(1, min(seed_words, len(words)))))
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.every: dict[int, np.ndarray] = {}
+        self.maps: dict[int, np.ndarray] = {}
+        by_length: dict[int, list[int]] = {}
         for k, words in enumerate(self.words):
-            if len(words):
-                n = min(seed_words, len(words))
-                by_length.setdefault(n, []).append((hasher.ngrams(words, n), k))
-        for n, found in by_length.items():
-            grams = np.concatenate([g for g, _ in found])
-            item = np.concatenate([np.full(len(g), k, dtype=np.int32) for g, k in found])
-            at = np.concatenate([np.arange(len(g), dtype=np.int32) for g, _ in found])
+            if words:
+                by_length.setdefault(min(seed_words, len(words)), []).append(k)
+        for n, members in by_length.items():
+            different = [np.unique(self.of_item[k]) for k in members]
+            every, in_items = np.unique(np.concatenate(different), return_counts=True)
+            grams, item = [], []
+            for k, mine in zip(members, different):
+                # tiles of n words or more need so many of the item's seeds; without the rest of them, taken by rarity, none is found
+                needed = -(-int(np.ceil(coverage * len(self.words[k]))) // n)
+                places = np.bincount(np.searchsorted(mine, self.of_item[k]), minlength=len(mine))
+                order = np.argsort(in_items[np.searchsorted(every, mine)], kind="stable")
+                used = int(np.searchsorted(np.cumsum(places[order]), len(self.of_item[k]) - needed + 1)) + 1
+                grams.append(mine[order[:used]])
+                item.append(np.full(len(grams[-1]), k, dtype=np.int32))
+            grams, item = np.concatenate(grams), np.concatenate(item)
             order = np.argsort(grams, kind="stable")
-            self.seeds[n] = grams[order], item[order], at[order]
-
-    def search(self, hasher: Hasher, column: pa.Array, coverage: float):
+            self.seeds[n], self.every[n] = (grams[order], item[order]), every
+
+    def candidates(self, row: np.ndarray, grams: np.ndarray, n: int):
+        """(row, item) pairs, each once, of rows that hold a seed of the index, a bounded number of seeds at a time."""
+        seeds, item = self.seeds[n]
+        left = np.searchsorted(seeds, grams, side="left")
+        hits = np.searchsorted(seeds, grams, side="right") - left
+        row, left, hits = row[hits > 0], left[hits > 0], hits[hits > 0]
+        done: set[int] = set()
+        for lo in range(0, len(row), 4096):
+            h = hits[lo : lo + 4096]
+            index = np.repeat(left[lo : lo + 4096] - np.append(0, np.cumsum(h)[:-1]), h) + np.arange(h.sum())
+            for pair in np.unique(np.repeat(row[lo : lo + 4096], h) * len(self.ids) + item[index]).tolist():
+                if pair not in done:
+                    done.add(pair)
+                    yield divmod(pair, len(self.ids))
+
+    def search(self, hasher: Hasher, column: pa.Array):
         """(row, item id, words of the item, covered words, tiles) for each pair at or over the coverage."""
-        filters = {n: np.unique(g >> np.uint64(40)) for n, (g, _, _) in self.seeds.items()}
-        maps = {}
-        for n, high in filters.items():
-            maps[n] = np.zeros(1 << 24, dtype=bool)
-            maps[n][high] = True
+        for n, every in self.every.items():
+            if n not in self.maps:
+                self.maps[n] = np.zeros(1 << 24, dtype=bool)
+                self.maps[n][every >> np.uint64(40)] = True
         for lo, _, data, rows in blocks(column):
-            split = hasher.split(hasher.lower[data], rows)
+            data = hasher.lower[data]
+            split = hasher.split(data, rows)
             words = hasher.word_hashes(split)
-            for n, (seeds, item, at) in self.seeds.items():
+            for n in self.seeds:
                 grams = hasher.ngrams(words, n)
-                near = np.flatnonzero(maps[n][grams >> np.uint64(40)])
+                near = np.flatnonzero(self.maps[n][grams >> np.uint64(40)])
                 near = near[inside(split.of_row, n, len(grams))[near]]
-                left = np.searchsorted(seeds, grams[near], side="left")
-                hits = np.searchsorted(seeds, grams[near], side="right") - left
-                near, left, hits = near[hits > 0], left[hits > 0], hits[hits > 0]
                 if not len(near):
                     continue
                 row = np.searchsorted(split.of_row, near, side="right") - 1
-                index = np.repeat(left - np.append(0, np.cumsum(hits)[:-1]), hits) + np.arange(hits.sum())
-                row, pos, which, where = np.repeat(row, hits), np.repeat(near, hits), item[index], at[index]
-                order = np.lexsort((which, row))
-                row, pos, which, where = row[order], pos[order], which[order], where[order]
-                cut = np.flatnonzero((row[1:] != row[:-1]) | (which[1:] != which[:-1])) + 1
-                for begin, end in zip(np.append(0, cut), np.append(cut, len(row))):
-                    k, target = which[begin], self.words[which[begin]]
-                    reach = np.zeros(len(target) + 1, dtype=np.int64)
-                    starts = np.unique(where[begin:end])
-                    np.add.at(reach, starts, 1)
-                    np.add.at(reach, starts + n, -1)
-                    if (np.cumsum(reach) > 0).sum() < coverage * len(target):
+                order = np.lexsort((grams[near], row))
+                row, near = row[order], near[order]
+                first = np.ones(len(row), dtype=bool)
+                first[1:] = (row[1:] != row[:-1]) | (grams[near[1:]] != grams[near[:-1]])
+                for r, k in self.candidates(row[first], grams[near[first]], n):
+                    begin, end = split.of_row[r], split.of_row[r + 1]
+                    mine, item, target = grams[begin : end - n + 1], self.of_item[k], self.words[k]
+                    a, b = np.searchsorted(row, [r, r + 1])
+                    known = grams[near[a:b]]
+                    there = known[np.minimum(np.searchsorted(known, item), len(known) - 1)] == item
+                    reach = np.convolve(there, np.ones(n, dtype=np.int64)) > 0
+                    if reach.sum() < self.coverage * len(target):
                         continue
-                    base = split.of_row[row[begin]]
-                    doc = words[base : split.of_row[row[begin] + 1]]
-                    tiles = greedy_tiles(doc, target, pos[begin:end] - base, where[begin:end].astype(np.int64), n)
-                    tiles = [x for x in tiles if (doc[x[0] : x[0] + x[2]] == target[x[1] : x[1] + x[2]]).all()]
+                    tiles = []
+                    for p, t, size in greedy_tiles(mine, item, n):
+                        at = slice(begin + p, begin + p + size)
+                        # the words themselves, whatever their hashes say
+                        if [data[x:y].tobytes() for x, y in zip(split.starts[at], split.ends[at])] == target[t : t + size]:
+                            tiles.append((p, t, size))
                     covered = sum(x[2] for x in tiles)
-                    if covered >= coverage * len(target):
-                        yield lo + int(row[begin]), self.ids[k], len(target), covered, tiles
+                    if covered >= self.coverage * len(target):
+                        yield lo + r, self.ids[k], len(target), covered, tiles
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, block_items: int = BLOCK_ITEMS):
@@ -140,7 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     ``seed_words`` words count if the whole item is found. Null or empty texts
     match nothing. Repeated documents and items give a pair each. A tile is
     [start word in the document, start word in the item, words]. Documents are
-    read once for each block of items and are not shuffled.
+    read once for each block of items and are not shuffled. A text of one word again and again takes memory
+    in proportion to its length. Further columns are left out.
     """
     spark = docs.sparkSession
     tiles = "array<struct<doc_start:int,item_start:int,words:int>>"
@@ -151,15 +198,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast((items, seed_words))
+        shared = spark.sparkContext.broadcast(Benchmark(items, seed_words, coverage))
 
         def run(batches, shared=shared):
-            test, hasher = Benchmark(*shared.value), Hasher()
+            test, hasher = shared.value, Hasher()
             for batch in batches:
                 ids = batch.column(0)
                 rows = [
                     (ids[row].as_py(), item, n, covered, len(found), max(x[2] for x in found), [dict(zip(("doc_start", "item_start", "words"), x)) for x in found])
-                    for row, item, n, covered, found in test.search(hasher, batch.column(1), coverage)
+                    for row, item, n, covered, found in test.search(hasher, batch.column(1))
                 ]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), type=t) for x, t in zip(zip(*rows), types)], names=names)
@@ -176,12 +223,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage: float = COV
     if docs.schema["text"].dataType.simpleString() != "string":
         raise TypeError("text must be a string column")
     for items in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast((items, seed_words))
+        shared = spark.sparkContext.broadcast(Benchmark(items, seed_words, coverage))
 
         def run(batches, shared=shared):
-            test, hasher = Benchmark(*shared.value), Hasher()
+            test, hasher = shared.value, Hasher()
             for batch in batches:
-                bad = {row for row, *_ in test.search(hasher, batch.column(where), coverage)}
+                bad = {row for row, *_ in test.search(hasher, batch.column(where))}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -6,9 +6,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -206,6 +208,29 @@ def texts():
     return ["".join(rng.choice(pieces) + rng.choice(["", " ", ""]) for _ in range(rng.randint(0, 12))) for _ in range(800)]
 
 
+def test_tiles_of_repeated_words_take_little_memory():
+    """4,000 repeated words and 50 such items: every seed of one meets every seed of the other."""
+    tracemalloc.start()
+    items = [(k, "again " * (40 + k)) for k in range(50)]
+    found = list(decontaminate.Benchmark(items, 5, 0.8).search(decontaminate.Hasher(), pa.array(["again " * 4000, "once " * 3 + "again " * 45])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
+    assert {(row, k) for row, k, *_ in found} == {(0, k) for k in range(50)} | {(1, k) for k in range(50) if 45 >= 0.8 * (40 + k)}
+    assert all(tiles == [(0 if row == 0 else 3, 0, min(n, 45 if row else n))] for row, _, n, _, tiles in found)
+
+
+def test_words_made_to_collide_in_sums():
+    word = "a"
+    while len(word) < 8192:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (512, 1024, 2048, 4096, 8192):
+        test = decontaminate.Benchmark([(1, f"v w x y {word[:n]}")], 5, 0.8)
+        found = [list(test.search(decontaminate.Hasher(), pa.array([f"v w x y {w[:n]} z"]))) for w in (word, other)]
+        assert len(found[0]) == 1 and found[1] == []
+
+
 def test_base_spans_by_the_plain_patterns():
     for t in texts():
         assert pii.base_spans(t) == plain_spans(t), t
