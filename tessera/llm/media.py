@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 TILE = 16
 WIDTH = 64
+#: Samples of an image in one strip of the integral image.
+STRIP = 1 << 20
 
 
 def encode_pgm(samples: bytes, width: int = WIDTH) -> bytes:
@@ -96,45 +98,82 @@ def decode(data: bytes) -> np.ndarray:
     return image
 
 
+def white(data: bytes) -> int:
+    """The sample that stands for white: the greatest one that a Netpbm header allows, 255 elsewhere."""
+    return max(1, _header(data, 3)[0][2]) if data[:1] == b"P" and data[1:2] in b"2356" else 255
+
+
 def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the source area under each target pixel, by one integral image read at fractional edges."""
-    h, w = image.shape
-    total = np.zeros((h + 1, w + 1), dtype=np.float64)
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+def area_resizes(image: np.ndarray, sizes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each (height, width) the mean of the source area under each target pixel.
+
+    One integral image, read at fractional edges, gives all sizes. It is made in strips of rows: of each,
+    the sums over columns are kept at the edges alone, and only the last row goes on to the next
+    strip, so memory is bounded by a strip (or a row), not the image.
+    """
+    h, w = image.shape[:2]
 
     def edges(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(n + 1) * (size / n)
         low = np.minimum(at.astype(np.int64), size - 1)
         return low, at - low
 
-    y, fy = edges(height, h)
-    x, fx = edges(width, w)
-    rows = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
-    grid = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
-    return np.diff(np.diff(grid, axis=0), axis=1) / ((h / height) * (w / width))
+    places = [(edges(height, h), edges(width, w)) for height, width in sizes]
+    grids = [np.zeros((height + 1, width + 1)) for height, width in sizes]
+    above = [np.zeros(width + 1) for _, width in sizes]
+    step = max(1, STRIP // w)
+    for top in range(0, h, step):
+        strip = grey(image[top : top + step])
+        across = np.zeros((len(strip), w + 1), dtype=np.float64)
+        np.cumsum(strip, axis=1, dtype=np.float64, out=across[:, 1:])
+        for k, ((y, fy), (x, fx)) in enumerate(places):
+            total = np.empty((len(strip) + 1, len(x)))
+            total[0] = above[k]
+            np.cumsum(across[:, x] * (1 - fx) + across[:, x + 1] * fx, axis=0, out=total[1:])
+            total[1:] += above[k]
+            here = np.flatnonzero((y >= top) & (y < top + len(strip)))
+            at = y[here] - top
+            grids[k][here] = total[at] * (1 - fy[here])[:, None] + total[at + 1] * fy[here][:, None]
+            above[k] = total[-1]
+    return [np.diff(np.diff(g, axis=0), axis=1) / ((h / g_h) * (w / g_w)) for g, (g_h, g_w) in zip(grids, sizes)]
 
 
-def difference_hash(image: np.ndarray) -> str:
-    """64 bits as 16 hex digits: of an 8 x 9 thumbnail, whether each pixel is darker than its right neighbour."""
-    small = np.rint(area_resize(image, 8, 9) * 256)
-    return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_resizes(image, [(height, width)])[0]
 
 
-def npy_tile(image: np.ndarray, size: int = TILE) -> bytes:
-    """A size x size uint8 thumbnail in NPY format."""
+def npy(thumbnail: np.ndarray, most: int = 255) -> bytes:
+    """A thumbnail as uint8 in NPY format, ``most`` being white."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, size, size)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(thumbnail * (255 / most)), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
+def features(image: np.ndarray, most: int = 255, size: int = TILE) -> tuple[bytes, str]:
+    """A size x size thumbnail in NPY format, and the difference hash.
+
+    The hash has 64 bits as 16 hex digits: of an 8 x 9 thumbnail, whether each pixel is darker than its right neighbour.
+    """
+    tile, small = area_resizes(image, [(size, size), (8, 9)])
+    small = np.rint(small * 256)
+    return npy(tile, most), np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+
+
+def npy_tile(image: np.ndarray, size: int = TILE) -> bytes:
+    return features(image, size=size)[0]
+
+
+def difference_hash(image: np.ndarray) -> str:
+    return features(image)[1]
+
+
 def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
     """Add height, width, tile (NPY bytes) and dhash for a binary column of Netpbm and BMP images.
 
-    An image that is null, empty, without pixels or not readable gives nulls in
+    Tiles have 255 for the greatest value that the image's header allows. An image that is null, empty, without pixels or not readable gives nulls in
     all four; columns of these names are replaced, others stay as they are.
     """
     added = "height int, width int, tile binary, dhash string"
@@ -146,8 +185,9 @@ def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
             rows = []
             for data in batch.column(batch.schema.get_field_index(content)):
                 try:
-                    image = grey(decode(data.as_py() or b""))
-                    rows.append((*image.shape, npy_tile(image), difference_hash(image)))
+                    data = data.as_py() or b""
+                    image = decode(data)
+                    rows.append((*image.shape[:2], *features(image, white(data))))
                 except (ValueError, struct.error, IndexError, ZeroDivisionError):
                     rows.append((None,) * 4)
             columns = [pa.array(list(x), type=f.type) for x, f in zip(zip(*rows), schema)] if rows else [pa.array([], type=f.type) for f in schema]
@@ -176,8 +216,9 @@ def media_documents(docs: DataFrame) -> DataFrame:
         n, data = payload(text)
         stored = encode_pgm(data)
         image = decode_netpbm(stored)
-        read = image.tobytes()
-        return (n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), npy_tile(image))
+        read = np.ascontiguousarray(image).reshape(-1)
+        tile, code = features(image)
+        return (n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), code, tile)
 
     def run(batches):
         for batch in batches:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -65,6 +66,35 @@ def test_area_resize_is_the_mean_of_the_area():
     assert np.load(io.BytesIO(media.npy_tile(np.full((4, 4), 9)))).tolist() == [[9] * 16] * 16
 
 
+def test_tiles_are_scaled_by_the_greatest_value(spark):
+    deep = np.full((4, 5), 1000, dtype=">u2")
+    images = [(1, b"P5\n5 4\n65535\n" + deep.tobytes()), (2, b"P5\n2 2\n15\n" + bytes([15] * 4)), (3, b"P2 1 1 4 2"), (4, b"P4 8 1\n\x00"), (5, b"P6 1 1 15\n" + bytes([15] * 3))]
+    got = {r["k"]: np.load(io.BytesIO(r["tile"])) for r in media.media_columns(spark.createDataFrame(images, "k int, content binary")).collect()}
+    assert [set(got[k].reshape(-1).tolist()) for k in range(1, 6)] == [{4}, {255}, {128}, {255}, {255}]
+
+
+def test_strips_give_what_one_integral_image_gives(monkeypatch):
+    rng = np.random.default_rng(3)
+    for h, w in ((1, 1), (3, 70), (70, 3), (64, 64), (257, 31)):
+        for image in (rng.integers(0, 256, (h, w)), rng.integers(0, 256, (h, w, 3), dtype=np.uint8)):
+            whole = media.area_resizes(image, [(16, 16), (8, 9)])
+            monkeypatch.setattr(media, "STRIP", 50)
+            for a, b in zip(whole, media.area_resizes(image, [(16, 16), (8, 9)])):
+                assert np.allclose(a, b)
+            monkeypatch.undo()
+
+
+def test_a_long_text_takes_little_more_than_its_size():
+    text = "many words " * 400_000
+    n, data = media.payload(text)
+    image = media.decode_netpbm(media.encode_pgm(data))
+    tracemalloc.start()
+    media.features(image)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+
+
 def test_media_columns(spark):
     good = media.encode_pgm(bytes(range(128)))
     rows = [(1, good, 5), (2, None, 5), (3, b"", 5), (4, b"P5 9", 5), (5, b"BM", 5), (6, b"P5 0 0 255\n", 5), (1, good, 5), (7, b"GIF89a", 5)]
@@ -102,6 +132,16 @@ def test_token_counts_are_the_tokenizer_s(spark):
     assert tokens.count_tokens(df.where("false")).count() == 0
 
 
+def test_settled_characters_are_split_as_the_tokenizer_splits_them():
+    splitter, plain = tokens.Splitter(), tokens.load_tokenizer(tokens.default_tokenizer()).pre_tokenizer
+    settled = [chr(c) for c in range(0x250, 0x20000) if not 0xD800 <= c < 0xE000 and not splitter.unsettled.search(chr(c))]
+    assert len(settled) > 30_000
+    for lo in range(0, len(settled), 64):
+        text = "".join(f"a{c}b {c} 1{c}2{c}. {c}{c} 's{c}" for c in settled[lo : lo + 64])
+        assert splitter.parts(text) == [text[b:e] for _, (b, e) in plain.pre_tokenize_str(text)]
+    assert splitter.parts("curly “quotes” — and … more") is not None and splitter.parts("\ue000") is None
+
+
 def test_a_small_cache_gives_the_same_counts():
     tokenizer = tokens.load_tokenizer(tokens.default_tokenizer())
     counting = tokens.Counting(tokenizer, {"the": 1}, cached=3)

@@ -6,8 +6,8 @@ import hashlib
 import math
 import random
 import re
-import tracemalloc
 import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
