@@ -24,8 +24,8 @@ from .text import Hasher, blocks, inside
 BUCKETS = 10_000
 #: At most so many labelled rows fit the target model and set k.
 LABELLED = 20_000
-#: k leaves out this share of the labelled target documents at most.
-MISSED = 0.0005
+#: A held-out target document that is left out counts as so many held-out documents of quality 0 that are drawn, when k is set.
+COST_OF_MISSED = 10
 #: Toxic text is told by n-grams with a log ratio (less its error) of TOXIC_LEAST or more.
 TOXIC_LEAST = 1.0
 #: At most this share of the held-out documents that aren't toxic is taken for toxic.
@@ -36,8 +36,8 @@ SEED = 17
 def bucketed(hasher: Hasher, data: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, row) of every uni- and bigram of tokens: runs of letters and digits, runs of signs.
 
-    A run of letters or digits that is the same as one of the two tokens before
-    it gives one more n-gram, the last bucket, whatever the token is.
+    An n-gram that says "the same run of letters or digits as one or two tokens before", whatever
+    it is, has the last bucket for itself: words again and again are usual words otherwise.
     """
     tokens = hasher.tokens(data, rows)
     words = hasher.word_hashes(tokens)
@@ -52,17 +52,18 @@ def bucketed(hasher: Hasher, data: np.ndarray, rows: np.ndarray, buckets: int) -
     return np.append(grams, np.full(again.sum(), buckets - 1)), np.concatenate([row, row[: len(pairs)][ok], row[again]])
 
 
-def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> tuple[list[int], list[int]]:
-    """Labelled target documents (quality 1, not toxic) of up to ``limit`` labelled ones, taken by a hash of doc_id: one half to fit, one held out to set k.
+def labelled_sample(labels: DataFrame, limit: int = LABELLED) -> tuple[list[int], list[int], list[int]]:
+    """Of up to ``limit`` labelled documents, taken by a hash of doc_id: target documents (quality 1, not toxic) to fit, such held out to set k, and those of quality 0, which set k too.
 
     Rows with a null doc_id or quality are left out; a document with several
-    labels is target text if all say so.
+    labels is target text if all say so, and of quality 0 if one does.
     """
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    rows = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("good"))
-    good = [r["doc_id"] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect() if r["good"]]
-    return good[::2], good[1::2]
+    rows = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("good"), F.min("quality").alias("quality"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    good = [r["doc_id"] for r in rows if r["good"]]
+    return good[::2], good[1::2], [r["doc_id"] for r in rows if r["quality"] == 0]
 
 
 def gram_models(docs: DataFrame, target: list[int], buckets: int = BUCKETS) -> np.ndarray:
@@ -248,13 +249,22 @@ def gumbel_top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.where(F.lit(False)) if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut))
 
 
-def sample_size(scored: DataFrame, held_out: list[int], missed: float = MISSED) -> int:
-    """k: as many documents as reach the key that all but ``missed`` of the held-out target documents reach; all, without such documents."""
-    ids = scored.sparkSession.createDataFrame([(i,) for i in held_out], "doc_id long")
-    keys = sorted(r[0] for r in scored.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("gumbel_key").alias("key")).select("key").collect()) if held_out else []
-    if not keys:
-        return scored.count()
-    return scored.where(F.col("gumbel_key") >= F.lit(keys[int(len(keys) * missed)])).count()
+def best_cut(good: list[float], poor: list[float], cost: float = COST_OF_MISSED) -> float | None:
+    """The key from which on documents are drawn: it makes cost x (good keys below it) + (poor keys from it on) least, the lowest of several; None without good keys."""
+    good, poor = np.sort(good), np.sort(poor)
+    if not len(good):
+        return None
+    cuts = good[np.append(True, good[1:] != good[:-1])]
+    loss = cost * np.searchsorted(good, cuts) + len(poor) - np.searchsorted(poor, cuts)
+    return float(cuts[int(loss.argmin())])
+
+
+def sample_size(scored: DataFrame, held_out: list[int], poor: list[int]) -> int:
+    """k: as many documents as reach best_cut() of the labelled ones; all, without held-out target documents. Only labelled keys come to the driver."""
+    known = scored.sparkSession.createDataFrame([(i, 1) for i in held_out] + [(i, 0) for i in poor], "doc_id long, good int")
+    rows = scored.join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(F.min("gumbel_key").alias("key")).collect()
+    cut = best_cut([r["key"] for r in rows if r["good"]], [r["key"] for r in rows if not r["good"]])
+    return scored.count() if cut is None else scored.where(F.col("gumbel_key") >= F.lit(cut)).count()
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) -> DataFrame:
@@ -264,11 +274,11 @@ def resample(docs: DataFrame, labels: DataFrame, keep_columns: bool = False) ->
     texts are neutral (weight 1); without labels everything is kept. Documents told
     as toxic have the weight 0 and are never drawn.
     """
-    fit, held_out = labelled_sample(labels)
+    fit, held_out, poor = labelled_sample(labels)
     ratio = gram_models(docs, fit)
     scored = log_weights(docs if keep_columns else texts(docs), ratio, toxic_model(docs, labels))
     keys = written(scored.select(F.col("doc_id").cast("long").alias("doc_id"), "n_grams", "log_weight", "gumbel_key"))
-    k = sample_size(keys, held_out)
+    k = sample_size(keys, held_out, poor)
     if not keep_columns:
         return gumbel_top_k(keys, k)
     cut = kth_largest(keys, "gumbel_key", k)

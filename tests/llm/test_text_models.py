@@ -96,6 +96,60 @@ def test_log_weights_by_plain_counts(spark):
             assert abs(rows[i]["gumbel_key"] - rows[i]["log_weight"] - noise) < 1e-9
 
 
+def plain_buckets(text, buckets, hasher):
+    """The n-grams of a text, token by token."""
+
+    def one(words):
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        hashes = hasher.word_hashes(hasher.split(data, np.array([0, len(data)])))
+        return int(hasher.ngrams(hashes, 2)[0] if len(words) == 2 else hashes[0]) % (buckets - 1)
+
+    tokens = TOKEN.findall((text or "").encode())
+    again = [k for k in range(len(tokens)) if re.match(rb"[\w\x80-\xff]", tokens[k]) and tokens[k] in tokens[max(0, k - 2) : k]]
+    return [one([t]) for t in tokens] + [one(list(p)) for p in zip(tokens, tokens[1:])] + [buckets - 1] * len(again)
+
+
+def hashed(i, *more):
+    h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
+    for x in more:
+        h = xxhash.xxh64_intdigest(struct.pack("<i", x), seed=h)
+    return h
+
+
+def test_resampling_by_brute_force(spark):
+    docs, labels = corpus(7)
+    labels = [(i, q, 0) for i, q, _ in labels]
+    docs += [(1000, "the of " * 100_000, True), (1001, "", True)]
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(3)
+    rows = quality.resample(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    hasher, buckets = quality.Hasher(), quality.BUCKETS
+    grams = {i: plain_buckets(t, buckets, hasher) if i != 1000 else [*plain_buckets("the of the of", buckets, hasher)] for i, t, _ in docs}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(labels, key=lambda r: signed(hashed(r[0])))
+    good, poor = [i for i, q, _ in order if q == 1], [i for i, q, _ in order if q == 0]
+    fit, held_out = set(good[::2]), good[1::2]
+    the, of, the_of, of_the, *_ = grams[1000][0], grams[1000][1], *grams[1000][4:6]
+    grams[1000] = [the, of] * 100_000 + [the_of, of_the] * 99_999 + [the_of] + [buckets - 1] * 199_998
+    raw, target = np.ones(buckets), np.ones(buckets)
+    for i, found in grams.items():
+        np.add.at(raw, found, 1)
+        if i in fit:
+            np.add.at(target, found, 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    noise = lambda i: -math.log(-math.log(((hashed(i, quality.SEED) >> 11) + 0.5) * 2.0**-53))
+    key = {i: round(float(ratio[found].sum()), 6) + noise(i) for i, found in grams.items()}
+    loss = lambda c: 10 * sum(key[i] < c for i in held_out) + sum(key[i] >= c for i in poor)
+    cut = min((key[i] for i in held_out), key=lambda c: (loss(c), c))
+    assert {r["doc_id"] for r in rows} == {i for i in key if key[i] >= cut - 1e-9}
+    for r in rows:
+        assert abs(r["gumbel_key"] - key[r["doc_id"]]) < 1e-3 and r["n_grams"] == len(grams[r["doc_id"]])
+
+
+def test_the_cut_of_least_cost():
+    assert quality.best_cut([], [1.0]) is None and quality.best_cut([3.0, 1.0], []) == 1.0
+    assert quality.best_cut([5.0, 4.0, -9.0], [-3.0] * 11) == 4.0 and quality.best_cut([5.0, 4.0, -9.0], [-3.0] * 9) == -9.0
+
+
 @pytest.mark.parametrize("k", [0, 1, 7, 99, 250, 300, 500])
 def test_top_k(spark, k):
     rng = random.Random(k)
