@@ -10,7 +10,7 @@ from ..operators import lookup
 from ..sources.tables import load
 
 #: The report's cards.
-CARDS = [("Data Science", "Python, R, Jupyter"), ("API", "Spring Boot, Java")]
+CARDS = [("Python", "notebook, pandas, scikit-learn"), ("React", "Vite + JavaScript workspace"), ("Spring", "Java 21 + Spring Boot API"), ("R", "tidyverse, ggplot2, IRkernel")]
 STATUS_NAMES = {"F": "FILLED", "O": "OPEN"}
 
 
@@ -47,12 +47,14 @@ def replace_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_line(spark: SparkSession, folder: str) -> DataFrame:
-    return load(spark, folder, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("first_line"))
+    return load(spark, folder, "documents").select("doc_id", text.first_line(F.col("text")).alias("first_line"))
 
 
 def nonblank_lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines = load(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"\S")).select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), "line")
+    """Texts with a blank line put after each line feed, so that there are blank lines to leave out."""
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n \t\n"))
+    lines = load(spark, folder, "documents").select("doc_id", F.posexplode(text.nonblank(spaced)).alias("line_no", "line"))
+    return lines.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), "line")
 
 
 def tail_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,12 +126,12 @@ SQL = {
     "map_lookup_default": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'O' THEN 'OPEN' ELSE 'UNKNOWN' END AS status FROM orders",
     "format_code": "SELECT user_id, 'exit=' || CAST(count(*) AS VARCHAR) AS status FROM events GROUP BY user_id",
     "replace_text": "SELECT event_id, replace(props, ':', ' | ') AS props FROM events",
-    "first_line": "SELECT doc_id, string_split(text, chr(10))[1] AS first_line FROM documents",
-    "nonblank_lines": r"SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE regexp_matches(line, '\S')",
+    "first_line": r"SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10))[1] ELSE 'ok' END AS first_line FROM documents",
+    "nonblank_lines": r"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM documents) WHERE regexp_matches(line, '\S')",
     "tail_join": "SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS tail FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 5 GROUP BY conv_id",
     "append_ordered": "SELECT 'region' AS source, row_number() OVER (ORDER BY r_regionkey) AS line_no, r_name AS value FROM region UNION ALL SELECT 'nation', row_number() OVER (ORDER BY n_nationkey), n_name FROM nation",
     "instant_text": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at FROM events",
-    "literal_projection": "SELECT * FROM (VALUES ('Data Science', 'Python, R, Jupyter'), ('API', 'Spring Boot, Java')) t(label, detail)",
+    "literal_projection": "SELECT * FROM (VALUES ('Python', 'notebook, pandas, scikit-learn'), ('React', 'Vite + JavaScript workspace'), ('Spring', 'Java 21 + Spring Boot API'), ('R', 'tidyverse, ggplot2, IRkernel')) t(label, detail)",
     "empty_guard": "SELECT CAST(count(*) > 0 AS BIGINT) AS n_missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "default_nullif": "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), o_orderpriority) AS status FROM orders",
     "map_put_if_absent": "SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.level'), '2') AS level FROM events",

@@ -14,7 +14,7 @@ from ..functions import text
 from ..operators import lookup
 
 #: The names of library codes.
-CODES = {0: "CUDA_SUCCESS", 1: "CUDA_ERROR_INVALID_VALUE", 3: "CUDA_ERROR_NOT_INITIALIZED", 100: "CUDA_ERROR_NO_DEVICE"}
+CODES = {0: "CUDA_SUCCESS", 100: "CUDA_ERROR_NO_DEVICE", 35: "CUDA_ERROR_INSUFFICIENT_DRIVER", 804: "CUDA_ERROR_FORWARD_COMPATIBILITY_NOT_SUPPORTED"}
 
 
 def package_report(expected: DataFrame, versions: DataFrame, modules: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def tool_report(expected: DataFrame, results: DataFrame) -> DataFrame:
 
 def framework_lines(results: DataFrame) -> DataFrame:
     """results (source_no, name, out, err, code) -> source_no, line_no, line: non-blank lines of output as they are, and a failure's last five error lines."""
-    failed = F.concat(F.col("name"), F.lit("\terror: "), text.tail(F.col("err")))
+    failed = F.concat(F.col("name"), F.lit("\terror: "), text.exit_text(F.col("code")), F.lit("; "), text.tail(F.col("err")))
     all_lines = F.concat(text.nonblank(F.col("out")), F.when(F.col("code") != 0, F.array(failed)).otherwise(F.array().cast("array<string>")))
     return results.select("source_no", F.posexplode(all_lines).alias("line_no", "line"))
 
@@ -44,13 +44,15 @@ def framework_lines(results: DataFrame) -> DataFrame:
 def device_report(paths: DataFrame, present: DataFrame, commands: DataFrame, codes: DataFrame, results: DataFrame) -> DataFrame:
     """Four sections under each other: section_no, line_no, line.
 
-    paths (line, path), present (path), commands (line, name, code, out, err), codes (line, lib, code), results as in framework_lines().
+    paths (line, path), present (path), commands (line, name, code, out, err), codes (line, lib, code, error: why
+    the library couldn't be loaded), results as in framework_lines().
     """
     tab = lambda *c: F.concat_ws("\t", *c)
     devices = lookup.flag_presence(paths, present, "path", "status", "present", "missing").select(F.lit(1).alias("section_no"), F.col("line").alias("line_no"), tab("path", "status").alias("line"))
     said = F.when(F.col("code").isNull(), F.lit(text.MISSING)).otherwise(text.flat(F.col("out"), F.col("err")))
     tools = commands.select(F.lit(2).alias("section_no"), F.col("line").alias("line_no"), tab("name", text.exit_text(F.col("code")), said).alias("line"))
-    status = F.when(F.col("code").isNull(), F.lit(text.MISSING)).otherwise(F.concat(F.lit("init="), F.col("code").cast("string"), F.lit(" "), text.named_code(F.col("code"), CODES)))
+    loaded = F.concat(F.lit("loaded; cuInit="), F.col("code").cast("string"), F.lit(" ("), text.named_code(F.col("code"), CODES), F.lit(")"))
+    status = F.coalesce(F.concat(F.lit("error: "), F.col("error")), loaded, F.lit(text.MISSING))
     libraries = codes.select(F.lit(3).alias("section_no"), F.col("line").alias("line_no"), tab("lib", status).alias("line"))
     frameworks = framework_lines(results).select(F.lit(4).alias("section_no"), (F.col("source_no") * 1000000 + F.col("line_no")).cast("long").alias("line_no"), "line")
     return devices.withColumn("line_no", F.col("line_no").cast("long")).unionByName(tools).unionByName(libraries).unionByName(frameworks)

@@ -7,11 +7,11 @@ import math
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import lookups, relational
+from tessera.plans import lookups, records, relational
 from tessera.streaming import events
 
-SQL = {**lookups.SQL, **relational.SQL, **events.SQL}
-QUERIES = {**lookups.QUERIES, **relational.QUERIES, **events.QUERIES}
+SQL = {**lookups.SQL, **records.SQL, **relational.SQL, **events.SQL}
+QUERIES = {**lookups.QUERIES, **records.QUERIES, **relational.QUERIES, **events.QUERIES}
 
 
 def value(x):

@@ -89,11 +89,11 @@ def test_device_report(spark):
         spark.createDataFrame([(1, "/dev/a"), (2, "/dev/b")], "line int, path string"),
         spark.createDataFrame([("/dev/b",)], "path string"),
         spark.createDataFrame([(1, "smi", None, None, None), (2, "nvcc", 1, "", "x\ny")], "line int, name string, code int, out string, err string"),
-        spark.createDataFrame([(1, "lib.so", 100), (2, "lib.so.1", None)], "line int, lib string, code int"),
+        spark.createDataFrame([(1, "lib.so", 100, None), (2, "lib.so.1", None, "OSError: no file")], "line int, lib string, code int, error string"),
         spark.createDataFrame([(1, "tf", "a\n\n b\n", "", 0), (2, "torch", "", "1\n2\n3\n4\n5\n6\n", 1)], "source_no int, name string, out string, err string, code int"),
     )
     assert [r["line"] for r in got.sort("section_no", "line_no").collect()] == [
-        "/dev/a\tmissing", "/dev/b\tpresent", "smi\tmissing\tmissing", "nvcc\texit=1\tx | y", "lib.so\tinit=100 CUDA_ERROR_NO_DEVICE", "lib.so.1\tmissing", "a", " b", "torch\terror: 2 | 3 | 4 | 5 | 6",
+        "/dev/a\tmissing", "/dev/b\tpresent", "smi\tmissing\tmissing", "nvcc\texit=1\tx | y", "lib.so\tloaded; cuInit=100 (CUDA_ERROR_NO_DEVICE)", "lib.so.1\terror: OSError: no file", "a", " b", "torch\terror: exit=1; 2 | 3 | 4 | 5 | 6",
     ]
 
 
