@@ -42,7 +42,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of a Parquet table have no order of their own; the schedule depends on the
     documents alone, so it is drawn up again here.
     """
-    slots = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / mixing.BLOCK_ROWS).alias("blocks")).agg(F.sum("blocks")).scalar()
+    slots = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / mixing.rows_in_block(docs)).alias("blocks")).agg(F.sum("blocks")).scalar()
     bucket = F.floor(F.col("mix_slot") * sharding.BUCKETS / slots)
     placed = sharding.shard_documents(mixing.mix_sources(docs), bucket=bucket, order=[F.col("mix_slot"), F.col("mix_seq")])
     return placed.drop(*[c for c in mixing.COLUMNS if c not in docs.columns])

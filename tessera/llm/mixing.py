@@ -7,7 +7,7 @@ the end of the slot in which that is done with it as its deadline; in each slot,
 released blocks the one with the earliest deadline goes. At any slot a source is then
 less than one block away from the ideal mix, however many slots there are. The
 schedule is drawn up in whole numbers, on the driver, by a heap of one block a source;
-it has three numbers a block.
+it has three numbers a block, and blocks grow with the table so that there are about a million at most.
 
 With a length for ``frame``, time runs in frames of about so many slots in which a source
 has a whole number of blocks, in proportion to its weight, one at least, until it is
@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 
 from .common import free_name, numbered
 
+#: Rows of a block at least; a block has more where there would be over MOST_BLOCKS blocks (24 bytes each in the schedule).
 BLOCK_ROWS = 16
+MOST_BLOCKS = 1 << 20
 #: Blocks in one row of the table of the schedule.
 CHUNK = 1024
 BUCKETS = 1024
@@ -39,7 +41,7 @@ COLUMNS = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_seq"]
 #: Up to so many sources the schedule's tables are broadcast (below 6 million slots), else they are joined by a shuffle.
 BROADCAST_SOURCES = 256
 #: Up to so many blocks (24 bytes each) the schedule is broadcast.
-BROADCAST_BLOCKS = 1 << 20
+BROADCAST_BLOCKS = MOST_BLOCKS + BROADCAST_SOURCES
 
 _EDF = """
 aggregate(
@@ -60,6 +62,11 @@ aggregate(
 """
 
 
+def rows_in_block(docs: DataFrame) -> int:
+    """BLOCK_ROWS, or more where a table is so large that the schedule would have over MOST_BLOCKS blocks."""
+    return max(BLOCK_ROWS, -(-docs.count() // MOST_BLOCKS))
+
+
 def source_plan(docs: DataFrame, source: str, weights: DataFrame | None, block_rows: int, frame: int | None) -> DataFrame:
     """A row for each source: blocks, weight and, with frames, its share: the blocks of a full frame."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("rows"))
@@ -122,20 +129,21 @@ def exact_schedule(sources: list[tuple[int, float]]) -> list[tuple[array, array,
 def with_exact_times(rows: DataFrame, source: str, plan: DataFrame) -> DataFrame:
     """rows with the release, deadline and slot of their mix_block."""
     spark, known = rows.sparkSession, plan.orderBy("source").collect()
+    own = {c: free_name(rows, "_mix_" + c) for c in ("source", "of", "at", "piece", "slot", "release", "deadline")}
     times = exact_schedule([(r["blocks"], r["weight"]) for r in known])
     pieces = [(i, lo // CHUNK) for i, r in enumerate(known) for lo in range(0, r["blocks"], CHUNK)]
     columns = [pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.int64())]
     columns += [pa.array([times[i][k][c * CHUNK : (c + 1) * CHUNK] for i, c in pieces], pa.list_(pa.int64())) for k in range(3)]
-    table = spark.createDataFrame(pa.table(columns, names=["_mix_at", "_mix_piece", "_mix_slots", "_mix_releases", "_mix_deadlines"]))
-    names = spark.createDataFrame([(r["source"], i) for i, r in enumerate(known)], T.StructType([T.StructField("_mix_source", plan.schema["source"].dataType), T.StructField("_mix_of", T.IntegerType())]))
+    table = spark.createDataFrame(pa.table(columns, names=[own[c] for c in ("at", "piece", "slot", "release", "deadline")]))
+    names = spark.createDataFrame([(r["source"], i) for i, r in enumerate(known)], T.StructType([T.StructField(own["source"], plan.schema["source"].dataType), T.StructField(own["of"], T.IntegerType())]))
     names = F.broadcast(names) if len(known) <= BROADCAST_SOURCES else names
     table = F.broadcast(table) if sum(r["blocks"] for r in known) <= BROADCAST_BLOCKS else table
-    rows = rows.join(names, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
-    rows = rows.join(table, (F.col("_mix_of") == F.col("_mix_at")) & (F.floor(F.col("mix_block") / CHUNK) == F.col("_mix_piece")), "left")
+    rows = rows.join(names, F.col(source).eqNullSafe(F.col(own["source"])), "left")
+    rows = rows.join(table, (F.col(own["of"]) == F.col(own["at"])) & (F.floor(F.col("mix_block") / CHUNK) == F.col(own["piece"])), "left")
     place = F.pmod(F.col("mix_block"), F.lit(CHUNK)).cast("int")
     for c in ("release", "deadline", "slot"):
-        rows = rows.withColumn("mix_" + c, F.col(f"_mix_{c}s")[place])
-    return rows.drop("_mix_source", "_mix_of", *table.columns)
+        rows = rows.withColumn("mix_" + c, F.col(own[c])[place])
+    return rows.drop(*own.values())
 
 
 def frame_schedules(plan: DataFrame) -> DataFrame:
@@ -178,7 +186,7 @@ def mix_sources(
     source: str = "source",
     id_column: str = "doc_id",
     weights: DataFrame | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     frame: int | None = None,
 ) -> DataFrame:
     """All rows with mix_block, mix_release, mix_deadline, mix_slot and mix_seq added: read them by (mix_slot, mix_seq).
@@ -186,43 +194,45 @@ def mix_sources(
     ``weights`` has (source, weight); the greatest of several holds, a source
     without one (or with one of 0 or less, or null) has the mean of the others. Without a table
     the weight is the root of the source's rows. Rows with a null source are a source. Rows
-    of a source come in the order of a hash bucket and the id; rows with equal
-    ids in any order. The last block of a source may be short. No row is left out.
+    of a source come in the order of a hash bucket of all their columns and the id; rows alike in
+    every column in any order. The last block of a source may be short; ``block_rows`` is rows_in_block() by default. No row is left out.
     Weights that aren't finite count as none. With ``frame`` weights are rounded to blocks a frame.
     Columns of the five names are replaced. Empty tables stay empty.
     """
     docs = docs.drop(*COLUMNS)
+    block_rows = block_rows or rows_in_block(docs)
     plan = source_plan(docs, source, weights, block_rows, frame)
     small = docs.select(source).distinct().count() <= BROADCAST_SOURCES
     sized = F.broadcast if small else (lambda x: x)
     rank = free_name(docs, "_rank")
-    bucket = F.pmod(F.xxhash64(F.col(id_column), F.lit("mix")), F.lit(BUCKETS))
-    rows = numbered(docs, [source], bucket, [F.col(id_column)], rank, buckets=BUCKETS, few=small)
+    # all columns, so that rows that share an id (or have none) are spread over the buckets
+    every = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()], F.lit("mix"))
+    rows = numbered(docs, [source], F.pmod(every, F.lit(BUCKETS)), [F.col(id_column), every], rank, buckets=BUCKETS, few=small)
     rows = rows.withColumn("mix_block", F.floor(F.col(rank) / block_rows)).withColumn("mix_seq", F.pmod(F.col(rank), F.lit(block_rows)).cast("int"))
     if frame is None:
         return with_exact_times(rows.drop(rank), source, plan)
     ends = F.expr("blocks div share")
     breaks = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array(F.lit(0).cast("long"), ends, ends + 1)))))
     every = plan.agg(breaks).scalar()
-    names = {c: f"_mix_{c}" for c in ("source", "share", "breaks", "phase", "block", "slot", "first", "length", "in_frame", "j", "frame")}
+    names = {c: free_name(rows, f"_mix_{c}") for c in ("source", "share", "breaks", "phase", "block", "slot", "first", "length", "in_frame", "j", "frame", "of")}
     shares = plan.select(F.col("source").alias(names["source"]), F.col("share").alias(names["share"]), every.alias(names["breaks"]))
     rows = rows.join(sized(shares), F.col(source).eqNullSafe(F.col(names["source"])), "left").drop(names["source"])
     share, block = F.col(names["share"]), F.col("mix_block")
     rows = rows.withColumn(names["frame"], F.floor(block / share)).withColumn(names["j"], F.pmod(block, share))
     phase = F.array_max(F.filter(F.col(names["breaks"]), lambda b: b <= F.col(names["frame"])))
-    rows = rows.withColumn("_mix_of", phase)
+    rows = rows.withColumn(names["of"], phase)
     times = frame_schedules(plan).select(*[F.col(c).alias(names[c]) for c in ("phase", "source", "block", "slot", "first", "length", "in_frame")])
     match = [
-        F.col("_mix_of") == F.col(names["phase"]),
+        F.col(names["of"]) == F.col(names["phase"]),
         F.col(names["j"]) == F.col(names["block"]),
         F.col(source).eqNullSafe(F.col(names["source"])),
     ]
     rows = rows.join(sized(times), match, "left")
-    base = F.col(names["first"]) + (F.col(names["frame"]) - F.col("_mix_of")) * F.col(names["length"])
+    base = F.col(names["first"]) + (F.col(names["frame"]) - F.col(names["of"])) * F.col(names["length"])
     j, length, m = F.col(names["j"]), F.col(names["length"]), F.col(names["in_frame"])
     return (
         rows.withColumn("mix_slot", base + F.col(names["slot"]))
         .withColumn("mix_release", base + F.floor(j * length / m))
         .withColumn("mix_deadline", base + F.ceil((j + 1) * length / m))
-        .drop(rank, "_mix_of", *names.values())
+        .drop(rank, *names.values())
     )

@@ -67,5 +67,6 @@ def shard_documents(
     )
     few = bucket is not None and len(weights or range(shards)) <= FEW_SHARDS
     if bucket is None:
-        bucket, order = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("slot")), F.lit(BUCKETS)), [F.col("doc_id"), F.col("text_crc32")]
+        # with the text, so that rows that share a doc_id (or have none) are spread over the buckets
+        bucket, order = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.lit("slot")), F.lit(BUCKETS)), [F.col("doc_id"), F.col("text_crc32")]
     return numbered(placed, ["shard"], bucket, list(order), "slot", buckets=BUCKETS, few=few)

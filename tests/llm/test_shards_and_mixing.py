@@ -134,6 +134,30 @@ def test_less_than_one_block_from_the_true_weight_over_many_frames(spark, rows,
         assert all(abs(seen[s] - ideal[s]) < 1 + 1e-4 for s in names)
 
 
+def test_blocks_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    docs = spark.range(1000).selectExpr("id as doc_id", "if(id < 300, 'a', 'b') as source")
+    assert mixing.rows_in_block(docs) == 100
+    got = mixing.mix_sources(docs).collect()
+    assert {r["mix_slot"] for r in got} == set(range(10)) and len({(r["mix_slot"], r["mix_seq"]) for r in got}) == 1000
+
+
+def test_columns_named_like_helpers_stay(spark):
+    names = ["_of_shard", "_of__bucket", "_mix_of", "_mix_at", "_mix_slot", "_mix_piece", "_bucket", "_start", "_rank"]
+    docs = spark.range(50).selectExpr("id as doc_id", "string(id) as text", "string(id % 3) as source", *[f"id + 7 as {n}" for n in names])
+    for df in (sharding.shard_documents(docs), mixing.mix_sources(docs), mixing.mix_sources(docs, frame=10)):
+        rows = df.collect()
+        assert len(rows) == 50 and all(r[n] == r["doc_id"] + 7 for r in rows for n in names)
+
+
+def test_rows_that_share_an_id_are_spread(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "string(id) as text", "'a' as source")
+    slots = sorted(r["slot"] for r in sharding.shard_documents(docs).collect())
+    assert slots == list(range(3000))
+    got = mixing.mix_sources(docs).collect()
+    assert len({(r["mix_slot"], r["mix_seq"]) for r in got}) == 3000
+
+
 def test_mixing_null_sources_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None), (None, None), (2, "a"), (2, "a")], "doc_id long, source string")
     got = mixing.mix_sources(docs, block_rows=1).collect()
