@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before it kept,
 and returns a DataFrame that is written as Parquet before the next one reads it.
+Further columns of docs go through all stages, whatever their names are; those of the same
+name that the last stage adds replace them. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -12,40 +14,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, mixing, quality, sharding
-from tessera.llm.common import written
+from tessera.llm.common import set_aside, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling draws; the rest goes."""
+    """The documents that importance resampling draws; the rest goes.
+
+    Null and empty texts are neutral, rows that are alike stay or go together, very long texts are scored whole; without
+    labels for any of docs everything stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.resample(docs, labels, keep_columns=True).select(*docs.columns)
+    rows, back = set_aside(docs, quality.COLUMNS)
+    return back(quality.resample(rows, labels, keep_columns=True)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of sets of five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group of sets of five-word shingles with a similarity of 0.8 or more: that of the least doc_id, a null one first.
+
+    Null and empty texts have no shingles and all stay; of rows with equal doc_id and text one stays.
+    """
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no test item is found under tiles of five words or more, to 0.8 of its words."""
+    """The documents in which no test item is found under tiles of five words or more, to 0.8 of its words.
+
+    Null and empty texts match nothing and stay; rows that are alike stay or go together.
+    """
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the schedule mixes their sources."""
-    return mixing.mix_sources(docs).orderBy("mix_slot", "mix_seq").select(*docs.columns)
+    """All documents, in the order in which the schedule mixes their sources.
+
+    A null source is a source; rows that are alike in every column come in any order.
+    """
+    rows, back = set_aside(docs, mixing.COLUMNS)
+    return back(mixing.mix_sources(rows).orderBy("mix_slot", "mix_seq")).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and their place in it, in the order of the mix.
 
+    A null doc_id is placed like any key, a null text counts as no bytes; rows that share a doc_id share their shard.
     Rows of a Parquet table have no order of their own; the schedule depends on the
     documents alone, so it is drawn up again here.
     """
     slots = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / mixing.rows_in_block(docs)).alias("blocks")).agg(F.sum("blocks")).scalar()
     bucket = F.floor(F.col("mix_slot") * sharding.BUCKETS / slots)
-    placed = sharding.shard_documents(mixing.mix_sources(docs), bucket=bucket, order=[F.col("mix_slot"), F.col("mix_seq")])
-    return placed.drop(*[c for c in mixing.COLUMNS if c not in docs.columns])
+    rows, back = set_aside(docs, mixing.COLUMNS)
+    return back(sharding.shard_documents(mixing.mix_sources(rows), bucket=bucket, order=[F.col("mix_slot"), F.col("mix_seq")]))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

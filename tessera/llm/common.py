@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names renamed, and what gives them their names back and drops other columns of these names."""
+    taken = {x.lower() for x in names}
+    own = {c: free_name(df, "_own_" + c) for c in df.columns if c.lower() in taken}
+
+    def back(other: DataFrame) -> DataFrame:
+        kept = other.drop(*[c for c in other.columns if c.lower() in taken])
+        return kept.withColumnsRenamed({v: k for k, v in own.items()})
+
+    return df.withColumnsRenamed(own), back
+
+
 def numbered(
     df: DataFrame, groups: list[str], bucket: Column, order: list[Column], out: str, buckets: int = 1024, few: bool = False
 ) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .text import Hasher, blocks, inside
 
+COLUMNS = ["n_grams", "log_weight", "gumbel_key"]
 BUCKETS = 10_000
 #: At most so many labelled rows fit the target model and set k.
 LABELLED = 20_000
@@ -199,7 +200,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[Evidence, float
     rows share their noise.
     """
     shared, buckets = docs.sparkSession.sparkContext.broadcast((ratio, toxic)), len(ratio)
-    kept = docs.drop("n_grams", "log_weight", "gumbel_key")
+    kept = docs.drop(*COLUMNS)
     where = kept.columns.index("text")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
