@@ -187,7 +187,8 @@ def region_path(spark: SparkSession, folder: str) -> DataFrame:
     """A recursive query: numbers up to the greatest region key, with the region's name."""
     load(spark, folder, "region").createOrReplaceTempView("_tessera_region")
     return spark.sql(
-        "WITH RECURSIVE n(k) AS (SELECT 0 UNION ALL SELECT k + 1 FROM n WHERE k < 4) SELECT CAST(k AS INT) AS k, r_name FROM n JOIN _tessera_region ON r_regionkey = k"
+        "WITH RECURSIVE last AS (SELECT max(r_regionkey) AS top FROM _tessera_region), n(k, top) AS (SELECT 0, top FROM last UNION ALL SELECT k + 1, top FROM n WHERE k < top) "
+        "SELECT CAST(k AS INT) AS k, r_name FROM n JOIN _tessera_region ON r_regionkey = k"
     )
 
 
@@ -210,15 +211,11 @@ def scaled_prices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def user_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """A grouped pandas function over partial aggregates: hours and days are summed first, so a group is a user's days."""
-    days = load(spark, folder, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("value").alias("value"))
-
-    def longest(rows: pd.DataFrame) -> pd.DataFrame:
-        days = pd.to_datetime(rows["day"]).sort_values()
-        runs = (days.diff().dt.days != 1).cumsum()
-        return pd.DataFrame({"user_id": rows["user_id"].iloc[:1].values, "longest_run": [int(runs.value_counts().max())]})
-
-    return days.groupBy("user_id").applyInPandas(longest, "user_id long, longest_run long")
+    """The longest run of days in a row of each user (gaps and islands); days are made distinct first, in the tasks that read them."""
+    days = load(spark, folder, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("day"))
+    runs = days.select("user_id", F.date_sub("day", place).alias("run")).groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"))
+    return runs.groupBy("user_id").agg(F.max("n").alias("longest_run"))
 
 
 QUERIES = {
@@ -256,7 +253,7 @@ SQL = {
     "tumbling_counts": "SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1",
     "sliding_counts": "SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1",
     "user_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
-    "region_path": "WITH RECURSIVE n(k) AS (SELECT 0 UNION ALL SELECT k + 1 FROM n WHERE k < 4) SELECT k, r_name FROM n JOIN region ON r_regionkey = k",
+    "region_path": "WITH RECURSIVE n(k) AS (SELECT 0 UNION ALL SELECT k + 1 FROM n WHERE k < (SELECT max(r_regionkey) FROM region)) SELECT k, r_name FROM n JOIN region ON r_regionkey = k",
     "lateral_top": "SELECT n_name, s_suppkey FROM (SELECT n_name, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM nation JOIN supplier ON s_nationkey = n_nationkey) WHERE r <= 2",
     "scaled_prices": "SELECT p_partkey, round(greatest(1000, least(1500, p_retailprice)), 2) AS price FROM part",
     "user_spans": "SELECT user_id, max(n) AS longest_run FROM (SELECT user_id, count(*) AS n FROM (SELECT user_id, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS g FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events)) GROUP BY user_id, g) GROUP BY user_id",
