@@ -21,10 +21,12 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder; where none is set, a temporary one on a local master and an error on a cluster."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-stream-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -47,12 +49,12 @@ def timed(spark: SparkSession, folder: str, delay: str) -> DataFrame:
 
 def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     counts = timed(spark, folder, "10 minutes").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return drained(counts.select(F.col("w.start").alias("start"), "n"))
+    return drained(counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n"))
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     sessions = timed(spark, folder, "10 minutes").groupBy("user_id", F.session_window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return drained(sessions.select("user_id", F.col("w.start").alias("start"), "n"))
+    return drained(sessions.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n"))
 
 
 def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,6 +72,9 @@ def stream_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sessions, stream_distinct, stream_join)}
 
 SQL = {
+    # what the last watermark, ten minutes behind the latest event, has closed
+    "stream_tumbling": "SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    "stream_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "stream_distinct": "SELECT DISTINCT event_id FROM events",
     "stream_join": "SELECT b.event_id AS buy_id, c.event_id AS click_id FROM events b JOIN events c ON b.user_id = c.user_id AND c.ts <= b.ts AND c.ts >= b.ts - INTERVAL 10 MINUTE WHERE b.event_type = 'purchase' AND c.event_type = 'click'",
 }
