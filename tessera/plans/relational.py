@@ -126,9 +126,18 @@ def moving_average(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hour_before(spark: SparkSession, folder: str) -> DataFrame:
-    """Events of the same user in the hour up to each event."""
-    load(spark, folder, "events").createOrReplaceTempView("_tessera_events")
-    return spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM _tessera_events")
+    """Events of the same user in the hour up to each event.
+
+    A user's time is cut in quarters of a day, so that a busy user isn't one group; the last hour of a quarter is
+    also seen, but not counted for itself, in the next one.
+    """
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    quarter = F.floor(seconds / 21600)
+    last = F.when(seconds >= (quarter + 1) * 21600 - 3600, F.array(F.struct(quarter.alias("quarter"), F.lit(True).alias("own")), F.struct((quarter + 1).alias("quarter"), F.lit(False).alias("own"))))
+    events = load(spark, folder, "events").select("event_id", "user_id", "ts", F.explode(F.coalesce(last, F.array(F.struct(quarter.alias("quarter"), F.lit(True).alias("own"))))).alias("part"))
+    events.select("event_id", "user_id", "ts", "part.*").createOrReplaceTempView("_tessera_events")
+    found = spark.sql("SELECT event_id, own, count(*) OVER (PARTITION BY user_id, quarter ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n FROM _tessera_events")
+    return found.where("own").drop("own")
 
 
 def as_of_join(spark: SparkSession, folder: str) -> DataFrame:
