@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    found = substring.dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

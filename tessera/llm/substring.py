@@ -278,14 +278,15 @@ def kept_words(words: list[bytes], spans: list[dict] | None, window: int) -> lis
     return [x for x, out in zip(words, gone.tolist()) if not out]
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, first: int = FIRST) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space).
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, first: int = FIRST, keep_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with keep_text, kept (the words left, joined by one space).
 
     Words are runs outside white space, unchanged. Null, empty and short texts
     lose nothing; a window that overlaps itself (repeated words) counts as
-    repeated. Rows with null or repeated doc_ids are rows of their own.
+    repeated. Rows with null or repeated doc_ids are rows of their own. Further columns are left out.
     """
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
@@ -299,7 +300,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, first: int = FIRST)
                     n.append(len(words))
                     gone.append(len(words) - len(rest))
                     sha.append(hashlib.sha256(joined).hexdigest())
-                    kept.append(joined.decode("utf-8"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                    if keep_text:
+                        kept.append(joined.decode("utf-8"))
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * keep_text, names=names)
 
     return removed_words(docs, window, first).select("doc_id", "text", "spans", "k1", "k2").mapInArrow(run, schema)

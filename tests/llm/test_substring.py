@@ -59,6 +59,19 @@ def test_texts_with_one_32_bit_hash_keep_their_own_spans(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute(docs, 35)
 
 
+def test_words_made_to_collide_in_sums_are_kept(spark):
+    """Thue-Morse words and their complements have equal sums in any base modulo 2**64."""
+    word = "a"
+    while len(word) < 8192:
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = []
+    for n in (512, 1024, 2048, 4096, 8192):
+        rest = " ".join(f"{n}x{k}" for k in range(34))
+        docs += [(2 * n, f"{word[:n]} {rest}"), (2 * n + 1, f"{word[:n].translate(str.maketrans('ab', 'ba'))} {rest}")]
+    got = substring.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string"), keep_text=False).collect()
+    assert sorted(tuple(r) for r in got) == [x[:4] for x in sorted(brute(docs, 35))] and all(r["n_removed"] == 0 for r in got)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.dedup_substrings(df).count() == 0
