@@ -404,16 +404,19 @@ def may_link(sizes: list[int], ranges: list[bytes | None], percent: int) -> list
 
 
 def bounded(dealt: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """dealt without the sets that can't reach the threshold with another set of their group (groups of over BOUNDED sets stay whole)."""
-    rows = dealt.join(reps.select("fp", "ranges"), "fp").select("pivot", "fp", "n", "ranges")
+    """dealt without the sets that can't reach the threshold with another set of their group.
+
+    Groups of over BOUNDED sets stay whole and don't come together in a task here.
+    """
+    sizes = dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("sets"))
+    whole = sizes.where(F.col("sets") > BOUNDED).select("pivot")
+    rows = dealt.join(whole, "pivot", "left_anti").join(reps.select("fp", "ranges"), "fp").select("pivot", "fp", "n", "ranges")
     grouped = rows.repartition("pivot").sortWithinPartitions("pivot")
 
     def run(batches):
         pivot, group = None, []
 
         def close():
-            if len(group) > BOUNDED:
-                return [x[:2] for x in group]
             return [x[:2] for x, ok in zip(group, may_link([x[1] for x in group], [x[2] for x in group], percent)) if ok]
 
         def batch_of(out):
@@ -425,13 +428,11 @@ def bounded(dealt: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 if p != pivot:
                     out += [(pivot, x) for x in close()]
                     pivot, group = p, []
-                if len(group) > BOUNDED:
-                    row[2] = None
                 group.append(row)
             yield batch_of(out)
         yield batch_of([(pivot, x) for x in close()])
 
-    return grouped.mapInArrow(run, "pivot long, fp long, n int")
+    return grouped.mapInArrow(run, "pivot long, fp long, n int").unionByName(dealt.join(whole, "pivot", "left_semi").select("pivot", "fp", "n"))
 
 
 def large_groups(dealt: DataFrame) -> DataFrame:
