@@ -24,7 +24,6 @@ from fractions import Fraction
 from heapq import heapify, heappop, heappush
 from math import lcm
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,9 +131,10 @@ def with_exact_times(rows: DataFrame, source: str, plan: DataFrame) -> DataFrame
     own = {c: free_name(rows, "_mix_" + c) for c in ("source", "of", "at", "piece", "slot", "release", "deadline")}
     times = exact_schedule([(r["blocks"], r["weight"]) for r in known])
     pieces = [(i, lo // CHUNK) for i, r in enumerate(known) for lo in range(0, r["blocks"], CHUNK)]
-    columns = [pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1] for p in pieces], pa.int64())]
-    columns += [pa.array([times[i][k][c * CHUNK : (c + 1) * CHUNK] for i, c in pieces], pa.list_(pa.int64())) for k in range(3)]
-    table = spark.createDataFrame(pa.table(columns, names=[own[c] for c in ("at", "piece", "slot", "release", "deadline")]))
+    rows_of = [(i, c, *[times[i][k][c * CHUNK : (c + 1) * CHUNK].tolist() for k in range(3)]) for i, c in pieces]
+    kinds = [T.IntegerType(), T.LongType()] + [T.ArrayType(T.LongType())] * 3
+    schema = T.StructType([T.StructField(own[c], k) for c, k in zip(("at", "piece", "slot", "release", "deadline"), kinds)])
+    table = spark.createDataFrame(rows_of, schema, verifySchema=False)
     names = spark.createDataFrame([(r["source"], i) for i, r in enumerate(known)], T.StructType([T.StructField(own["source"], plan.schema["source"].dataType), T.StructField(own["of"], T.IntegerType())]))
     names = F.broadcast(names) if len(known) <= BROADCAST_SOURCES else names
     table = F.broadcast(table) if sum(r["blocks"] for r in known) <= BROADCAST_BLOCKS else table
