@@ -141,7 +141,7 @@ def with_exact_times(rows: DataFrame, source: str, plan: DataFrame) -> DataFrame
     rows = rows.join(names, F.col(source).eqNullSafe(F.col(own["source"])), "left")
     rows = rows.join(table, (F.col(own["of"]) == F.col(own["at"])) & (F.floor(F.col("mix_block") / CHUNK) == F.col(own["piece"])), "left")
     place = F.pmod(F.col("mix_block"), F.lit(CHUNK)).cast("int")
-    for c in ("release", "deadline", "slot"):
+    for c in ("slot", "release", "deadline"):
         rows = rows.withColumn("mix_" + c, F.col(own[c])[place])
     return rows.drop(*own.values())
 
