@@ -2,55 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+from ..sources.stored import discard, shared_folder, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, a temporary one on a local master and an error on a cluster."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    if "path" not in _OWN:
-        _OWN["path"] = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _OWN["path"], ignore_errors=True)
-    return "file://" + _OWN["path"]
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks that read the table,
-    not the work before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(table)] = (weakref.ref(table), path)
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of written() that no plan needs any more."""
-    for table in tables:
-        known, path = _PATHS.pop(id(table), (None, ""))
-        if known and known() is table:
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["discard", "free_name", "numbered", "set_aside", "shared_folder", "written"]
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8": "doc_id n_shingles component_id",
     "op9": "page_id url text n_chars",
     "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op11": "doc_id fingerprint component_id",
+    "op12": "doc_id n_features weight score rank",
+    "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -29,7 +32,7 @@ def test_same_rows_as_sql(spark, duck, small, name):
 
 
 def test_names_and_columns(spark, small):
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     for name, query in queries.QUERIES.items():
         df = query(spark, small)
         assert df.columns == COLUMNS[name.split("_")[0]].split()
