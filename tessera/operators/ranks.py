@@ -67,6 +67,17 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], out: str, to
     return _unpacked(df, found, {out: F.col("index") + F.col("start"), **({total: F.col("total")} if total else {})})
 
 
+def running(df: DataFrame, groups: list[str], order: list[Column], value: str, out: str, ranges: int | None = None) -> DataFrame:
+    """df with ``out``: the sum of a column over the rows of the group up to and with each row; null counts as nothing."""
+    rows, keys = dealt(df, groups, order, ranges), _keys(groups)
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy(*keys, "part").agg(F.sum(F.coalesce(F.col("row")[value], F.lit(0))).alias("n"))
+    spans = spans.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy(*keys, "part").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("sum", F.sum(F.coalesce(F.col("row")[value], F.lit(0))).over(inside))
+    return _unpacked(df, _joined(summed, spans, keys), {out: F.col("sum") + F.col("start")})
+
+
 def tile(number: Column, total: Column, n: int) -> Column:
     """ntile(n) of the row ``number`` (from 1) of ``total``: the first total % n tiles have one row more."""
     small, larger = F.floor(total / n), total % n

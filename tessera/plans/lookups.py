@@ -72,7 +72,10 @@ def instant_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def literal_projection(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame(CARDS, "label string, detail string")
+    """The cards, each with the number of documents that name its label; the documents are read once for all cards."""
+    cards = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(y).alias("detail")) for x, y in CARDS])
+    named = load(spark, folder, "documents").select(F.explode(cards).alias("card"), "text").groupBy("card.label", "card.detail")
+    return named.agg(F.count_if(F.contains("text", F.col("card.label"))).alias("n_documents"))
 
 
 def empty_guard(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +134,7 @@ SQL = {
     "tail_join": "SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS tail FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 5 GROUP BY conv_id",
     "append_ordered": "SELECT 'region' AS source, row_number() OVER (ORDER BY r_regionkey) AS line_no, r_name AS value FROM region UNION ALL SELECT 'nation', row_number() OVER (ORDER BY n_nationkey), n_name FROM nation",
     "instant_text": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at FROM events",
-    "literal_projection": "SELECT * FROM (VALUES ('Python', 'notebook, pandas, scikit-learn'), ('React', 'Vite + JavaScript workspace'), ('Spring', 'Java 21 + Spring Boot API'), ('R', 'tidyverse, ggplot2, IRkernel')) t(label, detail)",
+    "literal_projection": "SELECT label, detail, count(*) FILTER (contains(text, label)) AS n_documents FROM (VALUES ('Python', 'notebook, pandas, scikit-learn'), ('React', 'Vite + JavaScript workspace'), ('Spring', 'Java 21 + Spring Boot API'), ('R', 'tidyverse, ggplot2, IRkernel')) t(label, detail), documents GROUP BY label, detail",
     "empty_guard": "SELECT CAST(count(*) > 0 AS BIGINT) AS n_missing FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "default_nullif": "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), o_orderpriority) AS status FROM orders",
     "map_put_if_absent": "SELECT event_id, json_extract_string(props, '$.k') AS k, coalesce(json_extract_string(props, '$.level'), '2') AS level FROM events",

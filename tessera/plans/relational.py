@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import temporal
+from ..operators import ranks, temporal
 from ..sources.tables import load
 
 
@@ -108,21 +108,21 @@ def top_orders_each(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def window_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    by_size = Window.partitionBy("p_brand").orderBy("p_size", "p_partkey")
-    return load(spark, folder, "part").select(
-        "p_partkey",
-        F.row_number().over(by_size).cast("long").alias("place"),
-        F.rank().over(Window.partitionBy("p_brand").orderBy("p_size")).cast("long").alias("rank"),
-        F.dense_rank().over(Window.partitionBy("p_brand").orderBy("p_size")).cast("long").alias("dense"),
-        F.lag("p_size").over(by_size).alias("before"),
-        F.lead("p_size").over(by_size).alias("after"),
-        F.ntile(4).over(by_size).cast("long").alias("quarter"),
-    )
+    """Numbers, ranks, neighbours and quarters of the parts of each brand; a brand is cut by ranges of the order, so it isn't one task."""
+    parts = load(spark, folder, "part").select("p_partkey", "p_brand", "p_size")
+    order = [F.col("p_size").asc(), F.col("p_partkey").asc()]
+    near = ranks.framed(parts, ["p_brand"], order, 1, 1, lambda w: {"before": F.lag("p_size").over(w), "after": F.lead("p_size").over(w)})
+    placed = ranks.numbered(near, ["p_brand"], order, "place", "total")
+    ranked = ranks.ranked(placed, ["p_brand"], "p_size")
+    return ranked.select("p_partkey", "place", "rank", F.col("dense_rank").alias("dense"), "before", "after", ranks.tile(F.col("place"), F.col("total"), 4).alias("quarter"))
 
 
 def moving_average(spark: SparkSession, folder: str) -> DataFrame:
-    near = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)
-    return load(spark, folder, "events").select("event_id", F.round(F.avg("value").over(near), 3).alias("average"))
+    """Mean of an event's value and those of the user's two events before; a busy user's events are cut into ranges that see two rows of the one before."""
+    events = load(spark, folder, "events").select("event_id", "user_id", "ts", "value")
+    order = [F.col("ts").asc(), F.col("event_id").asc()]
+    means = ranks.framed(events, ["user_id"], order, 2, 0, lambda w: {"average": F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 3)})
+    return means.select("event_id", "average")
 
 
 def hour_before(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,16 +20,17 @@ CODES = {0: "CUDA_SUCCESS", 100: "CUDA_ERROR_NO_DEVICE", 35: "CUDA_ERROR_INSUFFI
 def package_report(expected: DataFrame, versions: DataFrame, modules: DataFrame) -> DataFrame:
     """expected (line, dist, module), versions (dist, version), modules (module) -> line, python_package, distribution_version, module_status.
 
-    Version and status come from different lookups and may disagree.
+    Version and status come from different lookups and may disagree. Of several versions the least counts.
     """
-    found = lookup.look_up(expected, versions.dropDuplicates(["dist"]), "dist", "version", text.MISSING, "distribution_version")
+    found = lookup.look_up(expected, versions.groupBy("dist").agg(F.min("version").alias("version")), "dist", "version", text.MISSING, "distribution_version")
     found = lookup.flag_presence(found, modules, "module", "module_status")
     return found.select("line", F.col("dist").alias("python_package"), "distribution_version", "module_status")
 
 
 def tool_report(expected: DataFrame, results: DataFrame) -> DataFrame:
-    """expected (line, name, argv), results (program, out, err, code) -> line, dev_tool, status; a program without a result is missing."""
-    rows = expected.withColumn("program", F.get("argv", F.lit(0))).join(results.dropDuplicates(["program"]), "program", "left")
+    """expected (line, name, argv), results (program, out, err, code) -> line, dev_tool, status; a program without a result is missing, of several results the least counts."""
+    one = results.groupBy("program").agg(F.min(F.struct("code", "out", "err")).alias("r")).select("program", "r.*")
+    rows = expected.withColumn("program", F.get("argv", F.lit(0))).join(one, "program", "left")
     status = F.when(F.col("code").isNull(), F.lit(text.MISSING)).otherwise(text.outcome(F.col("out"), F.col("err"), F.col("code")))
     return rows.select("line", F.col("name").alias("dev_tool"), status.alias("status"))
 

@@ -7,38 +7,33 @@ closed are not emitted.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import delete, new_path
 from ..sources.tables import stream
 
-_OWN: list[str] = []
-
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, a temporary one on a local master and an error on a cluster."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="tessera-stream-"))
-        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-    return "file://" + _OWN[0]
 
+def drained(df: DataFrame, rocksdb: bool = False) -> DataFrame:
+    """Run the stream over all that is there, into a Parquet sink with a checkpoint, and return the sink's rows.
 
-def drained(df: DataFrame) -> DataFrame:
-    """Run the stream over all that is there, into a Parquet sink with a checkpoint, and return the sink's rows."""
+    The checkpoint is deleted then; the rows stay in the shared folder, as the result reads them. Custom state needs ``rocksdb``.
+    """
     spark = df.sparkSession
-    place = f"{shared_folder(spark)}/tessera-stream-{uuid.uuid4().hex}"
-    query = df.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    place = new_path(spark)
+    before = spark.conf.get(_STORE, None)
+    if rocksdb:
+        spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        query = df.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    finally:
+        if rocksdb:
+            spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
     query.awaitTermination()
+    delete(spark, f"{place}/state")
     return spark.read.schema(df.schema).parquet(f"{place}/rows")
 
 

@@ -7,11 +7,11 @@ import math
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import lookups, records, relational
+from tessera.plans import relational
 from tessera.streaming import events
 
-SQL = {**lookups.SQL, **records.SQL, **relational.SQL, **events.SQL}
-QUERIES = {**lookups.QUERIES, **records.QUERIES, **relational.QUERIES, **events.QUERIES}
+SQL = {name: sql for module in entry.OWN for name, sql in module.SQL.items()}
+QUERIES = {name: query for module in entry.OWN for name, query in module.QUERIES.items()}
 
 
 def value(x):
