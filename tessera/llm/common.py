@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 
 from ..sources.stored import discard, shared_folder, written
 
-__all__ = ["discard", "free_name", "numbered", "set_aside", "shared_folder", "written"]
+__all__ = ["discard", "free_name", "numbered", "restored", "set_aside", "shared_folder", "written"]
+
+
+def restored(kind: type, state: dict) -> object:
+    """An object of this package's class from its broadcast ``vars()``.
+
+    Broadcast values are pickled by reference, so a class of this package would have to be on the executors' path; arrays, lists
+    and dicts needn't. What the object keeps in its attributes stays for the next tasks of the worker.
+    """
+    made = object.__new__(kind)
+    made.__dict__ = state
+    return made
 
 
 def free_name(df: DataFrame, name: str) -> str:

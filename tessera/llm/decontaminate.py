@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored
 from .text import Hasher, blocks, inside
 
 SEED_WORDS = 5
@@ -198,10 +199,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Benchmark(items, seed_words, coverage))
+        shared = spark.sparkContext.broadcast(vars(Benchmark(items, seed_words, coverage)))
 
         def run(batches, shared=shared):
-            test, hasher = shared.value, Hasher()
+            test, hasher = restored(Benchmark, shared.value), Hasher()
             for batch in batches:
                 ids = batch.column(0)
                 rows = [
@@ -223,10 +224,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, coverage: float = COV
     if docs.schema["text"].dataType.simpleString() != "string":
         raise TypeError("text must be a string column")
     for items in benchmark_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(Benchmark(items, seed_words, coverage))
+        shared = spark.sparkContext.broadcast(vars(Benchmark(items, seed_words, coverage)))
 
         def run(batches, shared=shared):
-            test, hasher = shared.value, Hasher()
+            test, hasher = restored(Benchmark, shared.value), Hasher()
             for batch in batches:
                 bad = {row for row, *_ in test.search(hasher, batch.column(where))}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, written
+from .common import discard, free_name, restored, written
 from .components import components
 from .text import Hasher, blocks, mix
 
@@ -204,7 +204,7 @@ def prefixes(rows: DataFrame, order: Broadcast, words: int, percent: int) -> Dat
     names, kinds = ["gram", "fp", "n", "pos"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
-        hasher, ranks, seen = Hasher(), order.value, set()
+        hasher, ranks, seen = Hasher(), restored(Order, order.value), set()
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 out = []
@@ -479,7 +479,7 @@ def links(rows: DataFrame, keys: DataFrame, reps: DataFrame, order: Broadcast, w
     dealt = texts.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
 
     def run(batches):
-        hasher, ranks = Hasher(), order.value
+        hasher, ranks = Hasher(), restored(Order, order.value)
         key, fps, sets, probes = None, {}, [], []
 
         def close():
@@ -519,7 +519,7 @@ def classes_and_roots(rows: DataFrame, words: int, percent: int) -> tuple[DataFr
         .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("k"), F.first("ranges").alias("ranges"))
         .select("fp", "n", "least_id", "k.*", "ranges")
     )
-    order = rows.sparkSession.sparkContext.broadcast(global_order(rows, words))
+    order = rows.sparkSession.sparkContext.broadcast(vars(global_order(rows, words)))
     shared = dealt_sets(prefixes(rows, order, words, percent), percent)
     dealt = written(bounded(shared, reps, percent))
     discard(shared)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import restored, written
 from .text import Hasher, blocks, inside
 
 COLUMNS = ["n_grams", "log_weight", "gumbel_key"]
@@ -170,13 +170,13 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[Evidence, float] |
     if not told:
         return None
     evidence = Evidence(np.array([r["gram"] for r in told], dtype=np.int64).view(np.uint64), np.array([r["evidence"] for r in told]))
-    shared = docs.sparkSession.sparkContext.broadcast(evidence)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(evidence))
 
     def score(batches):
-        hasher = Hasher()
+        hasher, told = Hasher(), restored(Evidence, shared.value)
         for batch in batches:
             for _, _, data, rows in blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value.strongest(hasher, data, rows))], names=["most"])
+                yield pa.RecordBatch.from_arrays([pa.array(told.strongest(hasher, data, rows))], names=["most"])
 
     fine = sorted((r["most"] for r in known.where("held = 1 and toxic = 0").select("text").mapInArrow(score, "most double").collect()), reverse=True)
     over = fine[int(len(fine) * TOXIC_MISSED)] if fine else 0.0
@@ -199,13 +199,14 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[Evidence, float
     A text without tokens has no n-grams and the weight 1 (log 0). Repeated
     rows share their noise.
     """
-    shared, buckets = docs.sparkSession.sparkContext.broadcast((ratio, toxic)), len(ratio)
+    shared, buckets = docs.sparkSession.sparkContext.broadcast((ratio, toxic and (vars(toxic[0]), toxic[1]))), len(ratio)
     kept = docs.drop(*COLUMNS)
     where = kept.columns.index("text")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
     def run(batches):
         hasher, (ratios, toxic) = Hasher(), shared.value
+        told = toxic and restored(Evidence, toxic[0])
         for batch in batches:
             n, total, stays = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
             for lo, hi, data, rows in blocks(batch.column(where)):
@@ -213,7 +214,7 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[Evidence, float
                 n[lo:hi] = np.bincount(row, minlength=hi - lo)
                 total[lo:hi] = np.bincount(row, weights=ratios[bucket], minlength=hi - lo)
                 if toxic:
-                    stays[lo:hi] = toxic[0].strongest(hasher, data, rows) < toxic[1]
+                    stays[lo:hi] = told.strongest(hasher, data, rows) < toxic[1]
             scored = pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.round(total, 6))], names=[*batch.schema.names, "n_grams", "log_weight"])
             yield scored if stays.all() else scored.filter(pa.array(stays))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tessera.llm import decontaminate, mixing, quality
+from tessera.llm.common import written
 
 from .test_jaccard import shingles
 
@@ -61,12 +62,19 @@ def test_run_is_the_stages(spark, small):
 
 
 def test_shards_are_read_in_the_order_of_the_mix(spark, small):
+    """From written tables, as in run(), and from the rows themselves; without the mixing stage the slots are others."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
     turn = {r["doc_id"]: (r["mix_slot"], r["mix_seq"]) for r in mixing.mix_sources(docs).collect()}
-    for _, stage in corpus_pipeline.STAGES[-2:]:
-        docs = stage(spark, docs, small)
-    shards = {}
-    for r in docs.sort("shard", "slot").collect():
-        shards.setdefault(r["shard"], []).append(turn[r["doc_id"]])
-    assert sum(map(len, shards.values())) == len(turn) and all(x == sorted(x) for x in shards.values())
-    assert not set(mixing.COLUMNS) & set(docs.columns)
+    (_, mix), (_, shard) = corpus_pipeline.STAGES[-2:]
+    mixed = mix(spark, docs, small)
+    found = []
+    for rows in (mixed, written(mixed), docs):
+        slots = {r["doc_id"]: (r["shard"], r["slot"]) for r in shard(spark, rows, small).collect()}
+        shards = {}
+        for i, (s, _) in sorted(slots.items(), key=lambda x: x[1]):
+            shards.setdefault(s, []).append(turn[i])
+        assert sum(map(len, shards.values())) == len(turn)
+        found.append((slots, all(x == sorted(x) for x in shards.values())))
+        assert not set(mixing.COLUMNS) & set(shard(spark, rows, small).columns)
+    assert found[0] == found[1] and found[0][1]
+    assert not found[2][1] and found[2][0] != found[0][0] and {i: s for i, (s, _) in found[2][0].items()} == {i: s for i, (s, _) in found[0][0].items()}
