@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, jaccard, mixing, quality, sharding
-from tessera.llm.common import set_aside, written
+from tessera.llm.common import free_name, set_aside, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the schedule mixes their sources.
+    """All documents, laid out in the order in which the schedule mixes their sources.
 
     A null source is a source; rows that are alike in every column come in any order.
     """
@@ -53,17 +54,30 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return back(mixing.mix_sources(rows).orderBy("mix_slot", "mix_seq")).select(*docs.columns)
 
 
+def laid_out(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two columns, and their names: the piece of the table that a row lies in, and its place there.
+
+    Of a Parquet table the pieces are its files, in the order in which its writer numbered them; of other rows the partitions.
+    """
+    piece, place = free_name(docs, "_piece"), free_name(docs, "_place")
+    try:
+        rows = docs.withColumn(place, F.col("_metadata.row_index")).withColumn(piece, F.col("_metadata.file_name"))
+    except AnalysisException:  # rows that aren't read from files
+        rows = docs.withColumn(place, F.monotonically_increasing_id())
+        return rows.withColumn(piece, F.shiftright(place, 33).cast("int")), [piece, place]
+    # part-00012-...-c000: the number of the task, and of the file of a task that wrote several
+    number = F.coalesce(F.regexp_extract(piece, r"^part-(\d+)", 1).try_cast("int"), F.lit(0)) * 1000 + F.coalesce(F.regexp_extract(piece, r"-c(\d{1,3})\b", 1).try_cast("int"), F.lit(0))
+    return rows.withColumn(piece, number), [piece, place]
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their place in it, in the order of the mix.
+    """All documents with their shard and their place in it; a shard's rows keep the order in which docs lie, which is that of the mix.
 
     A null doc_id is placed like any key, a null text counts as no bytes; rows that share a doc_id share their shard.
-    Rows of a Parquet table have no order of their own; the schedule depends on the
-    documents alone, so it is drawn up again here.
+    The rows of a shard are numbered file by file, so neither a shard nor the table is one task.
     """
-    slots = docs.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / mixing.rows_in_block(docs)).alias("blocks")).agg(F.sum("blocks")).scalar()
-    bucket = F.floor(F.col("mix_slot") * sharding.BUCKETS / slots)
-    rows, back = set_aside(docs, mixing.COLUMNS)
-    return back(sharding.shard_documents(mixing.mix_sources(rows), bucket=bucket, order=[F.col("mix_slot"), F.col("mix_seq")]))
+    rows, (piece, place) = laid_out(docs)
+    return sharding.shard_documents(rows, bucket=F.col(piece), order=[F.col(piece), F.col(place)]).drop(piece, place)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
