@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,11 +59,11 @@ def laid_out(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     Of a Parquet table the pieces are its files, in the order in which its writer numbered them; of other rows the partitions.
     """
     piece, place = free_name(docs, "_piece"), free_name(docs, "_place")
-    try:
-        rows = docs.withColumn(place, F.col("_metadata.row_index")).withColumn(piece, F.col("_metadata.file_name"))
-    except AnalysisException:  # rows that aren't read from files
+    # a query over files would pass on the places in those files, which aren't its own
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
         rows = docs.withColumn(place, F.monotonically_increasing_id())
         return rows.withColumn(piece, F.shiftright(place, 33).cast("int")), [piece, place]
+    rows = docs.withColumn(place, F.col("_metadata.row_index")).withColumn(piece, F.col("_metadata.file_name"))
     # part-00012-...-c000: the number of the task, and of the file of a task that wrote several
     number = F.coalesce(F.regexp_extract(piece, r"^part-(\d+)", 1).try_cast("int"), F.lit(0)) * 1000 + F.coalesce(F.regexp_extract(piece, r"-c(\d{1,3})\b", 1).try_cast("int"), F.lit(0))
     return rows.withColumn(piece, number), [piece, place]
