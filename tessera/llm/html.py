@@ -2,7 +2,7 @@
 
 Each block of text gives points for its length and commas to the elements around
 it, the nearest first; an element's points are discounted by its share of linked
-text. The best container and those of its siblings that have little linked text are kept,
+text. The best container is kept, and of what stands beside it, or beside an element around it, that which has little linked text,
 without menus, notices, adverts, forms, comments and other furniture. The time is in
 proportion to the page: each character is looked at a bounded number of times.
 """
@@ -46,6 +46,17 @@ STATE_BEFORE = frozenset("has no not with without hide show".split())
 STATE_AFTER = frozenset("open closed enabled disabled".split())
 #: Those of them that name reader comments.
 COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: Those of them that name adverts, notices and sign-ups wherever they stand in a name.
+SURE = frozenset(
+    "ad ads adbox advert adverts advertisement advertising adsense consent cookie cookies gdpr login newsletter promo promotion signup skyscraper sponsor sponsored subscribe".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: In an article, what such a name is part of only goes with this share of its text in links.
+LINKED = 0.25
+#: Ancestors that a block's points are passed to at most.
+LEVELS = 32
+#: Unlinked characters that an element further out than the best one and its siblings has to have to be kept.
+FAR = 80
 #: A named element with this share of the unlinked text is no furniture, where no article stands apart from it.
 MOST = 0.5
 #: Paragraphs of an advert or the like that holds most of its article: it isn't closed where it should be.
@@ -82,11 +93,11 @@ def is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def named_furniture(tag: str, attributes: str) -> str | None:
-    """The word of a class, id or role that names furniture, one for comments first."""
+def named_furniture(tag: str, attributes: str) -> tuple[str, bool] | None:
+    """The word of a class, id or role that names furniture, one for comments first, and whether such words are the whole name."""
     if tag in ("html", "body", "main"):
         return None
-    found = tag if tag == "form" else None
+    found = (tag, True) if tag == "form" else None
     if not attributes or not _NAMED.search(attributes):
         return found
     for m in _ATTRIBUTE.finditer(attributes):
@@ -95,8 +106,10 @@ def named_furniture(tag: str, attributes: str) -> str | None:
                 parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", word).lower()) if x]
                 if parts and parts[0] not in STATE_BEFORE and parts[-1] not in STATE_AFTER and not FURNITURE.isdisjoint(parts):
                     if not COMMENTS.isdisjoint(parts):
-                        return "comments"
-                    found = found or next(x for x in parts if x in FURNITURE)
+                        return "comments", True
+                    named = next((x for x in parts if x in SURE), None) or next(x for x in parts if x in FURNITURE)
+                    whole = named in SURE or FURNITURE.issuperset(parts)
+                    found = (named, whole or (found is not None and found[1]))
     return found
 
 
@@ -107,8 +120,8 @@ class Tree:
         self.tag, self.parent = ["#root"], [-1]
         #: (element, text, linked characters)
         self.blocks: list[tuple[int, str, int]] = []
-        #: Elements named as furniture, and the word that names them.
-        self.named: dict[int, str] = {}
+        #: Elements named as furniture: the word that names them, and whether that is the whole name.
+        self.named: dict[int, tuple[str, bool]] = {}
 
     @classmethod
     def parse(cls, html: str) -> Tree:
@@ -253,15 +266,18 @@ class Tree:
 
         Where no article or main element with text stands outside of all of them, those stay that hold
         one (under no other name in between), and those with MOST of the page's unlinked text. Inside an article
-        those stay that have MOST of it, in several paragraphs. Comments only stay around the only article.
+        those stay that have MOST of it, in several paragraphs, and those of which such a word is only part of the name, if it
+        isn't a SURE one and few of their words are links; so do its own headers. Comments only stay around the only article.
         """
         n = len(self.tag)
-        text, paragraphs, under, article = [0] * n, [0] * n, [-1] * n, [0] * n
+        text, linked, paragraphs, under, article = [0] * n, [0] * n, [0] * n, [-1] * n, [0] * n
         for node, words, in_links in self.blocks:
             text[node] += len(words) - in_links
+            linked[node] += in_links
             paragraphs[node] += self.tag[node] in PARAGRAPHS
         for i in range(n - 1, 0, -1):
             text[self.parent[i]] += text[i]
+            linked[self.parent[i]] += linked[i]
             paragraphs[self.parent[i]] += paragraphs[i]
         for i in range(1, n):
             under[i] = i if i in self.named else under[self.parent[i]]
@@ -271,15 +287,16 @@ class Tree:
         held: set[int] = set()
         if all(under[i] >= 0 for i in articles):
             held = {under[i] for i in articles if under[i] != i} or {i for i in articles if under[i] == i}
-        for i, name in self.named.items():
+        for i, (name, whole) in self.named.items():
             around = article[self.parent[i]]
             most = name != "comments" and text[i] >= MOST * text[around] > 0
             if around:
-                most = most and paragraphs[i] >= PARAGRAPHS_OF_MOST
+                weak = name == "header" or not whole
+                most = (most and paragraphs[i] >= PARAGRAPHS_OF_MOST) or (weak and linked[i] < LINKED * (text[i] + linked[i]))
             elif articles:
                 most = False
             if i in held or most:
-                while i > 0:
+                while i > 0 and i not in stay:
                     stay.add(i)
                     i = self.parent[i]
         gone = [False] * n
@@ -297,7 +314,7 @@ class Tree:
             worth = (1 if len(words) >= 25 else 0.25) + words.count(",") + min(len(words) / 100, 3)
             worth *= 1 - in_links / len(words)
             up, level = (self.parent[node] if self.tag[node] in PARAGRAPHS else node), 0
-            while up > 0:
+            while up > 0 and level < LEVELS:
                 points[up] += worth / (1, 2)[level] if level < 2 else worth / (3 * level)
                 up, level = self.parent[up], level + 1
         for node in range(n - 1, 0, -1):
@@ -323,12 +340,23 @@ class Tree:
             while node > 0 and self.parent[node] not in solid:
                 node = self.parent[node]
                 solid.add(node)
-        found = {best}
+        found, around, up = {best}, set(), self.parent[best]
+        while up >= 0:
+            around.add(up)
+            up = self.parent[up]
         for i in range(1, len(self.tag)):
-            if self.parent[i] == self.parent[best] and i != best and self.text[i]:
-                # beside an article only what scores like one; elsewhere all paragraphs and what holds some
-                if score[i] >= least or (not named and i in solid and self.linked[i] < 0.25 * self.text[i]):
-                    found.add(i)
+            if self.parent[i] not in around or i in around or i == best or not self.text[i]:
+                continue
+            few = self.linked[i] < LINKED * self.text[i]
+            beside = self.parent[i] == self.parent[best]
+            if named:
+                # beside an article only what scores like one, other articles, and the title before it
+                keep = (beside and (score[i] >= least or (self.tag[i] == "article" and few))) or (self.tag[i] == "h1" and i < best and few)
+            else:
+                # elsewhere all paragraphs and what holds some; further out only those of some length
+                keep = (beside and score[i] >= least) or (i in solid and few and (beside or self.text[i] - self.linked[i] >= FAR))
+            if keep:
+                found.add(i)
         return found
 
 

@@ -10,6 +10,7 @@ import pytest
 from tessera.llm.html import PARAGRAPHS, Tree, main_text
 
 FIVE = "".join(f"<p>Paragraph number {i} of the article, with some words, and a comma or two, to be long enough.</p>" for i in range(5))
+LEAD = "The lead says in a sentence or two what the whole of it is about, so that nobody has to read the rest of it."
 LINES = main_text(f"<article>{FIVE}</article>")
 
 
@@ -27,6 +28,19 @@ LINES = main_text(f"<article>{FIVE}</article>")
         (f'<article><p>Short post.</p></article><div class="ad">{FIVE}</div>', "Short post."),
         (f'<article><p>Short post.</p><div class="comments">{FIVE}</div></article>', "Short post."),
         (f'<article>{FIVE}<form><p>Sign up for more.</p></form></article>', LINES),
+        # names that hold such a word, inside an article; its own headers; adverts and shares still go
+        (f'<article>{FIVE}<section id="market-share"><h2>Share</h2><p>Of the market.</p></section></article>', LINES + "\nShare\nOf the market."),
+        (f'<article>{FIVE}<section id="literature-search"><p>Of the library.</p></section></article>', LINES + "\nOf the library."),
+        (f'<article><p class="notice-board">On the board.</p>{FIVE}</article>', "On the board.\n" + LINES),
+        (f'<article><h2 class="header">Part one</h2>{FIVE}</article>', "Part one\n" + LINES),
+        (f'<article><div class="entry-header"><h1>Title</h1></div>{FIVE}</article>', "Title\n" + LINES),
+        (f'<article>{FIVE}<div class="inline-ad">Buy it.</div><div class="share">Tell all</div><div class="post-share"><a href="/">One</a> <a href="/">two</a></div></article>', LINES),
+        # a lead beside the wrapper of the rest, nested wrappers with a paragraph each
+        (f'<div><div><p>{LEAD}</p></div><div><div>{FIVE}</div></div></div><div><a href="/">Home</a></div>', LEAD + "\n" + LINES),
+        (f'<div><p>{LEAD}</p><div><p>{LEAD}</p><div>{FIVE}</div></div></div><p>(c) me</p>', LEAD + "\n" + LEAD + "\n" + LINES),
+        # a title before the article, a short second article; cards of links and linked titles go
+        (f"<h1>Title</h1><article>{FIVE}</article>", "Title\n" + LINES),
+        (f'<h1><a href="/">Site</a></h1><article>{FIVE}</article><article><p>Short, too.</p></article><article><a href="/">Card of one</a></article>', LINES + "\nShort, too."),
         ("", ""),
         ("<!-- only a comment", ""),
         ("plain < text & more", "plain < text & more"),
@@ -44,6 +58,13 @@ def test_a_megabyte_of_bad_markup(piece):
     assert time.process_time() - began < (30 if piece in ("<div>", "<p>x<b>", "<td>x", "<b>", "<i><table><td><b></i>", "<nav><b>") else 5)
 
 
+@pytest.mark.parametrize("page", ["<div>" * 500 + "<table>" + "<td>a cell of words" * 40_000, ("<div class='x-widget'><p>words, in it</p>" * 500 + "</div>" * 500) * 40])
+def test_deep_pages_take_no_longer(page):
+    began = time.process_time()
+    assert main_text(page) is not None
+    assert time.process_time() - began < 5
+
+
 def test_scores_by_brute_force():
     rng = random.Random(4)
     for _ in range(60):
