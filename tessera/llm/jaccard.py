@@ -335,16 +335,27 @@ def spanning_links(sets: list[np.ndarray], percent: int, probes: list[int] | Non
     """(set, least set of its component) for the components that the links of the probes (all sets) make."""
     if len(sets) < 2:
         return []
-    trie, component = Trie(sets), np.arange(len(sets))
+    trie, least = Trie(sets), list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while least[i] != i:
+            least[i] = least[least[i]]
+            i = least[i]
+        return i
+
+    # the trie is told of components when as many sets have joined as it knows of, so a number of times that grows with the logarithm
+    joined, told = 0, 0
     for i in range(len(sets)) if probes is None else probes:
-        found = trie.partners(i, percent)
-        if found:
-            old = np.unique(component[[i, *found]])
-            component[np.isin(component, old)] = old[0]
-            trie.settle(component)
-            if not component.any():
-                break
-    return [(i, int(c)) for i, c in enumerate(component) if i != c]
+        roots = sorted({root(j) for j in (i, *trie.partners(i, percent))})
+        for other in roots[1:]:
+            least[other] = roots[0]
+        joined += len(roots) - 1
+        if joined == len(sets) - 1:
+            break
+        if joined > 2 * told:
+            told = joined
+            trie.settle(np.array([root(j) for j in range(len(sets))]))
+    return [(i, c) for i in range(len(sets)) if (c := root(i)) != i]
 
 
 def dealt_sets(prefix: DataFrame, percent: int) -> DataFrame:

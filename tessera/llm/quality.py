@@ -144,7 +144,7 @@ def toxic_model(docs: DataFrame, labels: DataFrame) -> tuple[Evidence, float] |
     Half of the labelled documents give the evidence, half the limit.
     """
     sample = toxic_sample(labels)
-    known = texts(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic", "held")
+    known = written(texts(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic", "held"))  # LABELLED documents at most
     sizes = {(r["held"], r["toxic"]): r["n"] for r in known.groupBy("held", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not all(sizes.get((0, toxic)) for toxic in (0, 1)):
         return None
@@ -196,8 +196,8 @@ def gumbel(*key: Column | str, seed: int = SEED) -> Column:
 def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[Evidence, float] | None = None) -> DataFrame:
     """All columns of docs with n_grams, log_weight and gumbel_key (log_weight and noise) added, without documents that ``toxic`` tells.
 
-    A text without tokens has no n-grams and the weight 1 (log 0). Repeated
-    rows share their noise.
+    A text without tokens has no n-grams and the weight 1 (log 0). Rows that share a doc_id
+    share their noise, those without one that of their text. Very long texts are scored whole, in blocks of rows.
     """
     shared, buckets = docs.sparkSession.sparkContext.broadcast((ratio, toxic and (vars(toxic[0]), toxic[1]))), len(ratio)
     kept = docs.drop(*COLUMNS)
@@ -219,7 +219,8 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, toxic: tuple[Evidence, float
             yield scored if stays.all() else scored.filter(pa.array(stays))
 
     scored = kept.mapInArrow(run, f"{names}, n_grams long, log_weight double")
-    return scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id")))
+    # a row without an id has the noise of its text
+    return scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.coalesce(F.col("doc_id"), F.xxhash64("text"))))
 
 
 def kth_largest(scored: DataFrame, key: str, k: int, bins: int = 4096) -> float | None:

@@ -167,3 +167,16 @@ def test_components_of_a_long_chain(spark):
     chain = list(zip(ids, ids[1:])) + [(7_000_001, 7_000_002), (7_000_002, 7_000_001), (8, 8)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert {got[i] for i in ids} == {min(ids)} and got[7_000_002] == got[7_000_001] == 7_000_001
+
+
+def test_many_small_components_in_one_group(monkeypatch):
+    """Sets in pairs: the trie is told of components a number of times that grows with the logarithm of their number."""
+    rng = np.random.default_rng(6)
+    sets, told = [], []
+    for k in range(300):
+        one = np.unique(rng.integers(0, 2**58, 40, dtype=np.uint64))
+        sets += [np.sort(one), np.sort(np.append(one[1:], np.uint64(k)))]
+    settle = jaccard.Trie.settle
+    monkeypatch.setattr(jaccard.Trie, "settle", lambda self, component: told.append(1) or settle(self, component))
+    assert sorted(jaccard.spanning_links(sets, 85)) == [(2 * k + 1, 2 * k) for k in range(300)]
+    assert len(told) < 12

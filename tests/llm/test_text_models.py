@@ -376,3 +376,11 @@ def test_personal_data_of_documents(spark):
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
     assert pii.find_personal_data(df.where("false")).count() == 0
+
+
+def test_rows_without_an_id_have_the_noise_of_their_text(spark):
+    docs = spark.createDataFrame([(None, f"text {i % 40} of it") for i in range(60)] + [(5, "a"), (5, "b")], "doc_id long, text string")
+    rows = quality.log_weights(docs, np.zeros(100)).collect()
+    noise = {r.text: r.gumbel_key for r in rows if r.doc_id is None}
+    assert len(set(noise.values())) == 40 and all(r.gumbel_key == noise[r.text] for r in rows if r.doc_id is None)
+    assert len({r.gumbel_key for r in rows if r.doc_id == 5}) == 1
