@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def missing_keys(wanted: DataFrame, present: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Rows of wanted whose key present doesn't have (a null key is never present)."""
@@ -38,21 +40,13 @@ def any_row(df: DataFrame) -> DataFrame:
     return df.select(F.lit(1).alias("one")).limit(1).agg(F.count("one").alias("n_missing"))
 
 
-def append(parts: Sequence[tuple[str, DataFrame]], order: Column | str, value: str) -> DataFrame:
-    """(source, line_no, value) of several ordered tables; each is numbered by itself, from 1.
-
-    Meant for reports: a part's lines are numbered in one task.
-    """
-    from pyspark.sql import Window
-
+def append(parts: Sequence[tuple[str, DataFrame]], order: str, value: str) -> DataFrame:
+    """(source, line_no, value) of several ordered tables; each is numbered by itself, from 1, by ranges of the order."""
     out = None
     for name, df in parts:
-        numbered = df.select(
-            F.lit(name).alias("source"),
-            F.row_number().over(Window.orderBy(order)).cast("long").alias("line_no"),
-            F.col(value).alias("value"),
-        )
-        out = numbered if out is None else out.unionByName(numbered)
+        numbered = ranks.numbered(df, [], [F.col(order).asc()], "line_no")
+        listed = numbered.select(F.lit(name).alias("source"), "line_no", F.col(value).alias("value"))
+        out = listed if out is None else out.unionByName(listed)
     return out
 
 
