@@ -155,12 +155,13 @@ class Region:
         checked = luhn(digits) if 13 <= len(digits) <= 19 and not {c[0] for c in classes} - set("d -") else None
         left = self.classes[i - 1][0] if i else "^"
         right = self.classes[j][0] if j < len(self.classes) else "$"
-        return tuple(classes), left, right, len(digits), four, checked, self.before if i == 0 else ""
+        zeros = len(digits) - len(digits.lstrip("0")) if digits[:1] == "0" else 0
+        return tuple(classes), left, right, len(digits), four, checked, min(zeros, 2), self.before if i == 0 else ""
 
 
 def features(facts: tuple) -> list[str]:
     """Features of the whole segment."""
-    classes, left, right, n, four, checked, word = facts
+    classes, left, right, n, four, checked, zeros, word = facts
     simple = "".join(c[0] for c in classes)
     out = ["bias", "shape=" + re.sub(r"((?:[Ld][._%+-])+)(?=[Ld])", "~", simple)[:24], "exact=" + "".join(classes)[:40], f"digits={n if n < 20 else 20}", "left=" + left, "right=" + right]
     if "@" in classes:
@@ -176,8 +177,12 @@ def features(facts: tuple) -> list[str]:
         out.append("plus")
     if "(" in classes:
         out.append("bracket" if simple.count("(") == simple.count(")") else "open")
+    if zeros:
+        out += [f"zeros={zeros}", f"zeros={zeros} digits={n}", f"zeros={zeros} exact=" + "".join(classes)[:40]]
     if word:
         out.append("word=" + word)
+        if four is None and "@" not in classes:
+            out.append(f"word={word} digits={n}")
     return out
 
 
@@ -308,6 +313,8 @@ def _entity(kind: int, rng: random.Random) -> str:
             digits = next(digits[:-1] + c for c in "0123456789" if luhn(digits[:-1] + c))
         return rng.choice([digits, " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), "-".join(digits[i : i + 4] for i in range(0, len(digits), 4))] + [digits] * 2)
     a, b, c = number(3), number(3), number(4)
+    if rng.random() < 0.4:  # numbers as they are dialled inside a country, and with 00 for the plus sign
+        return rng.choice([f"0{rng.randint(10, 29)} {number(4)} {c}", f"07{number(3)} {number(6)}", f"0{rng.randint(100, 999)} {number(6)}", f"0{rng.randint(100, 999)} {a} {c}", f"0800 {c}", f"0800 {a} {c}", f"00{rng.randint(20, 99)} {number(2)} {number(6)}", f"00{rng.randint(20, 99)} {a} {number(7)}", f"0{rng.randint(1, 9)} {number(2)} {number(2)} {number(2)} {number(2)}"])
     return rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{rng.randint(20, 99)} {rng.randint(100, 999)} {number(7)}", f"+1{a}{b}{c}", f"{a}.{b}.{c}", f"+44 {number(4)} {number(6)}"])
 
 
@@ -317,6 +324,7 @@ def _other(rng: random.Random) -> str:
     return rng.choice([
         f"20{number(2)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 12)}:{rng.randint(10, 59)}", f"{number(1)}.{number(1)}", f"{number(1)}.{number(1)}.{number(1)}", f"{number(4)}.", f"{number(2)}%", f"${number(3)}.{number(2)}",
         f"#{number(5)}", f"{number(8)}", f"{number(6)}", f"{number(3)},{number(3)}", f'"{hexa(40)}"', hexa(32), f"{hexa(8)}-{hexa(4)}-{hexa(4)}", f"v{number(1)}.{number(1)}", f"1{number(3)}-1{number(3)}", f"@{hexa(5)}", f"x{number(2)}@", f"{number(24)}", f"{number(1)}.{number(1)},", f"{number(10)}", f"ISBN {number(3)}-{number(1)}-{number(4)}-{number(4)}-{number(1)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{number(4)}", f"{rng.randint(256, 999)}.{number(3)}.{number(3)}.{number(3)}", f"{number(1)}.{number(rng.randint(7, 17))}", f"{number(2)}.{number(6)}, {number(2)}.{number(6)}",
+        *[f"{rng.choice(['order', 'id', 'ref', 'no', 'ticket', 'invoice'])}{rng.choice([' ', ': ', ' #'])}{x}" for x in (f"20{number(2)}{rng.randint(10, 12)}{rng.randint(10, 28)}{number(6)}", number(16), number(rng.randint(9, 15)), f"0{number(8)}", f"{number(4)} {number(4)} {number(4)}")], f"20{number(2)}{rng.randint(10, 12)}{rng.randint(10, 28)}{number(6)}", f"{number(7)}-{number(7)}", f"{number(6)}-{number(6)}", f"{number(5)}-{number(6)}", f"0{number(5)}", f"00{number(4)}",
         " ".join(number(rng.randint(1, 3)) for _ in range(rng.randint(3, 9))), " ".join(number(3) for _ in range(rng.randint(3, 7))), number(1) + (" " + number(3)) * rng.randint(2, 4), " ".join(f"{number(rng.randint(1, 3))}.{number(2)}" for _ in range(rng.randint(2, 6))), f"{number(2)}-{number(2)}, {number(2)}-{number(2)}", f"0.{number(15)}", f"{number(1)}.{number(15)}",
     ])
 
