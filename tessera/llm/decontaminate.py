@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     Words are runs outside white space, A-Z in lower case. Items of fewer than
     ``seed_words`` words count if the whole item is found. Null or empty texts
-    match nothing. Repeated documents and items give a pair each. A tile is
+    match nothing; a null doc_id or item_id stays null in its pairs. An empty table on either side gives no pairs. Repeated documents and items give a pair each. A tile is
     [start word in the document, start word in the item, words]. Documents are
     read once for each block of items and are not shuffled. A text of one word again and again takes memory
     in proportion to its length. Further columns are left out.

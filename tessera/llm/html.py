@@ -377,7 +377,8 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
     A page that is null, empty or has no text gives an empty text. Broken markup is read as
     browsers do in the main: implied ends, unclosed and stray tags. Repeated pages give equal
-    rows; columns named text or n_chars are replaced.
+    rows; columns named text or n_chars are replaced. Pages of any length are read whole, in time in proportion to their length; of elements inside
+    each other beyond DEEPEST the text is that of the last one. An empty table gives an empty one.
     """
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     source = pages.select(*kept, F.col(html).cast("string").alias("_html"))

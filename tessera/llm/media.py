@@ -206,7 +206,8 @@ def payload(text: str | None, unit: int = WIDTH) -> tuple[int, bytes]:
 def media_documents(docs: DataFrame) -> DataFrame:
     """Each text stored as a grey map, decoded again, and described from the decoded samples.
 
-    A null text is empty (one row of zeros). Equal texts give equal values.
+    A null text is empty (one row of zeros). Equal texts give equal values, repeated rows a row each. A very long text is one image, described
+    by strips of rows. Further columns of docs are left out, so none can clash; an empty table gives an empty one.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]

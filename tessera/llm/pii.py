@@ -396,7 +396,8 @@ def find_personal_data(docs: DataFrame, sentences: int = SENTENCES) -> DataFrame
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans: these and what the field adds.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans.
-    Repeated rows give equal rows.
+    Repeated rows give equal rows. A very long text is searched whole, region by region. Further columns are left out, so none
+    can clash; an empty table gives an empty one.
     """
     field = trained(sentences)
     shared = docs.sparkSession.sparkContext.broadcast((field.ids, field.weights, field.outside))

@@ -162,7 +162,8 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, l
 
     Tokens are counted as the tokenizer gives them without added special
     tokens; its special string inside a text is one token. A null or empty text
-    has none. Columns of these names are replaced, other columns stay.
+    has none. Columns of these names are replaced, other columns stay. Repeated rows give equal rows, an empty table an
+    empty one; very long texts are counted whole.
     """
     path = path or default_tokenizer()
     shared = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, text, path))
