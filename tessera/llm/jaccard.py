@@ -527,8 +527,8 @@ def classes_and_roots(rows: DataFrame, words: int, percent: int) -> tuple[DataFr
     reps = written(
         profile.where("n > 0")
         .groupBy("fp", "n")
-        .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("k"), F.first("ranges").alias("ranges"))
-        .select("fp", "n", "least_id", "k.*", "ranges")
+        .agg(F.min("doc_id").alias("least_id"), F.min(F.struct("k1", "k2")).alias("k"), F.first("ranges").alias("ranges"), F.count(F.lit(1)).alias("docs"))
+        .select("fp", "n", "least_id", "k.*", "ranges", "docs")
     )
     order = rows.sparkSession.sparkContext.broadcast(vars(global_order(rows, words)))
     shared = dealt_sets(prefixes(rows, order, words, percent), percent)
@@ -559,9 +559,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     named = roots.join(reps.select(F.col("fp").alias("node"), "least_id"), "node")
     of_root = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(of_root, "root").select(F.col("node").alias("fp"), "component_id")
-    of_fp = reps.select("fp", "least_id").join(named, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least_id").alias("component_id"))
-    out = profile.join(of_fp, (F.col("fp") == F.col("of")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_fp = written(reps.select("fp", "least_id", "docs").join(named, "fp", "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least_id").alias("component_id"), "docs"))
+    # sets with a thousandth of the documents or more, a thousand at most, are broadcast; the others are no hot keys
+    hot = F.col("docs") * 1000 >= (of_fp.agg(F.sum("docs")).first()[0] or 0)
+    same, columns = F.col("fp") == F.col("of"), ["doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"]
+    frequent, filled = F.broadcast(of_fp.where(hot).select("of", "component_id")), profile.where("n > 0").select("doc_id", "n", "fp")
+    first = filled.join(frequent, same).select(*columns)
+    rest = filled.join(frequent.select("of"), same, "left_anti").join(of_fp.where(~hot), same).select(*columns)
+    return first.unionByName(rest).unionByName(profile.where("n = 0").select(columns[0], columns[1], F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

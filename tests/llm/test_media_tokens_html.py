@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import html, media, tokens
 
@@ -203,3 +204,19 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["page_id"]: r["n_chars"] for r in got}[4] == 4 + 2 * 200000
     assert html.extract_pages(df.where("false")).count() == 0
+
+
+def test_odd_documents(spark):
+    """Empty tables, a very long text, repeated rows and clashing columns: media, tokens, personal data."""
+    from tessera.llm import pii
+
+    long = "Write to a.b@example.org or +1 (415) 555-2671. " * 20_000
+    docs = spark.createDataFrame([(1, long, "x"), (2, "same", "y"), (2, "same", "y"), (None, None, None)], "doc_id long, text string, spans string").withColumns({c: F.lit(7) for c in ("n_bytes", "feature", "n_email")})
+    images = media.media_documents(docs).collect()
+    assert sorted(r.n_bytes for r in images) == [0, 4, 4, len(long)] and len({r.feature for r in images if r.doc_id == 2}) == 1
+    counts = tokens.count_tokens(docs).collect()
+    assert sorted(r.n_bytes for r in counts) == [0, 4, 4, len(long)] and {r.n_email for r in counts} == {7}
+    found = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert found[1].n_email == found[1].n_phone == 20_000 and found[2].spans == "" and found[None].n_ip == 0
+    none = docs.where("doc_id > 9")
+    assert media.media_documents(none).count() == tokens.count_tokens(none).count() == pii.find_personal_data(none).count() == 0
