@@ -110,7 +110,6 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 least_of AS (SELECT a AS doc_id, min(b) AS other FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.other, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of l ON l.doc_id = d.doc_id""",
-    "op4_rendezvous_shards": xxh64_sql.rendezvous_shards(),
     "op11_simhash_vp_trees": xxh64_sql.simhash_components(),
     "op12_crc_resampling": r"""
 WITH steps AS (SELECT list(list_reduce(range(0, 8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b) ORDER BY b) AS step FROM (SELECT unnest(range(0, 256)) AS b)),

@@ -89,6 +89,7 @@ def of_int(value: str, seed: str, name: str) -> str:
 
 
 def rendezvous_shards() -> str:
+    """Byte by byte, the checksums of whole texts take over a minute on the given tables: meant for tests on short ones."""
     slot = int.from_bytes(b"slot", "little")
     return rf"""
 WITH steps AS (SELECT list(list_reduce(range(0, 8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b) ORDER BY b) AS step FROM (SELECT unnest(range(0, 256)) AS b)),

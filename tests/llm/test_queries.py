@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tessera.llm import queries
+from tessera.llm import queries, xxh64_sql
 
 from ..test_queries import rows
 
@@ -38,3 +38,15 @@ def test_names_and_columns(spark, small):
         assert df.columns == COLUMNS[name.split("_")[0]].split()
         if name.split("_")[0] not in ("op2", "op3"):
             assert df.count() == (50 if name.startswith("op9") else 200)
+
+
+def test_shards_by_sql_on_short_texts(spark, tmp_path, small):
+    """Shards, slots and checksums of op4 by SQL of their hashes, over the given documents cut to 60 characters (on whole texts the SQL is too slow)."""
+    import duckdb
+
+    short = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "left(text, 60) AS text")
+    short.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, other = queries.QUERIES["op4_rendezvous_shards"](spark, str(tmp_path)), con.sql(xxh64_sql.rendezvous_shards())
+    assert df.columns == other.columns and rows(df.columns, df.collect()) == rows(other.columns, other.fetchall())
