@@ -71,32 +71,38 @@ found AS (SELECT c.fp, min(least(c.least, coalesce(o.least, c.least))) AS compon
 SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM docs JOIN found USING (fp)"""
 
 
-def _mixed(h: str, name: str) -> str:
-    """Columns that end in ``name``: h with its last mixing, step by step (each column is named in the next one)."""
-    return f"{h} AS {name}_a, {times(f'xor({name}_a, {name}_a >> 33)', PRIMES[1])} AS {name}_b, {times(f'xor({name}_b, {name}_b >> 29)', PRIMES[2])} AS {name}_c, xor({name}_c, {name}_c >> 32) AS {name}"
+def _mixed(source: str, h: str, name: str) -> str:
+    """CTEs that end in ``name``: the rows of ``source`` with a column ``name``, h with its last mixing; a step each, since an alias in one SELECT would be spelt out again in the next column."""
+    return f"""{name}_1 AS (SELECT *, {h} AS x FROM {source}), {name}_2 AS (SELECT * REPLACE ({times("xor(x, x >> 33)", PRIMES[1])} AS x) FROM {name}_1),
+{name}_3 AS (SELECT * REPLACE ({times("xor(x, x >> 29)", PRIMES[2])} AS x) FROM {name}_2), {name}_ AS (SELECT * EXCLUDE x, xor(x, x >> 32) AS {name} FROM {name}_3)"""
 
 
-def of_long(value: str, seed: str, name: str) -> str:
-    """Columns that end in ``name``: XXH64 of a whole number of 8 bytes (0 or more)."""
+def of_long(source: str, value: str, seed: str, name: str) -> str:
+    """CTEs that end in ``name``_: rows with XXH64 of a whole number of 8 bytes (0 or more)."""
     p1, _, _, p4, p5 = PRIMES
-    return _mixed(plus(times(rotated(f"xor({plus(seed, p5 + 8)}, {turn('0', value)})", 27), p1), p4), name)
+    return _mixed(source, plus(times(rotated(f"xor({plus(seed, p5 + 8)}, {turn('0', value)})", 27), p1), p4), name)
 
 
-def of_int(value: str, seed: str, name: str) -> str:
-    """Columns that end in ``name``: XXH64 of a whole number of 4 bytes (0 or more), or of 4 bytes as one."""
+def of_int(source: str, value: str, seed: str, name: str) -> str:
+    """CTEs that end in ``name``_: rows with XXH64 of a whole number of 4 bytes (0 or more), or of 4 bytes as one."""
     p1, p2, p3, _, p5 = PRIMES
-    return _mixed(plus(times(rotated(f"xor({plus(seed, p5 + 4)}, {times(value, p1)})", 23), p2), p3), name)
+    return _mixed(source, plus(times(rotated(f"xor({plus(seed, p5 + 4)}, {times(value, p1)})", 23), p2), p3), name)
 
 
 def rendezvous_shards() -> str:
-    """Byte by byte, the checksums of whole texts take over a minute on the given tables: meant for tests on short ones."""
+    """Byte by byte, the checksums of whole texts take half a minute for 1,000 documents: meant for tests on short ones."""
     slot = int.from_bytes(b"slot", "little")
     return rf"""
 WITH steps AS (SELECT list(list_reduce(range(0, 8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b) ORDER BY b) AS step FROM (SELECT unnest(range(0, 256)) AS b)),
 docs AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, hex(encode(coalesce(text, ''))) AS code FROM documents),
 sums AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_transform(range(0, length(code) // 2), lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295)) AS text_crc32 FROM docs, steps),
-keys AS (SELECT doc_id, size, text_crc32, {of_long("doc_id", number(SEED), "key")}, {of_long("text_crc32", "key", "twice")}, {of_int(str(slot), "twice", "place")} FROM sums),
-bids AS (SELECT doc_id, shard, {of_int("shard", "key", "bid")}, -1 / ln((CAST(bid >> 11 AS DOUBLE) + 0.5::DOUBLE) * power(2, -53)) AS offer FROM keys, (SELECT unnest(range(0, 25)) AS shard)),
+{of_long("sums", "doc_id", number(SEED), "key")},
+{of_long("key_", "text_crc32", "key", "twice")},
+{of_int("twice_", str(slot), "twice", "place")},
+keys AS (SELECT doc_id, size, text_crc32, key, place FROM place_),
+offers AS (SELECT doc_id, key, shard FROM keys, (SELECT unnest(range(0, 25)) AS shard)),
+{of_int("offers", "shard", "key", "bid")},
+bids AS (SELECT doc_id, shard, -1 / ln((CAST(bid >> 11 AS DOUBLE) + 0.5::DOUBLE) * power(2, -53)) AS offer FROM bid_),
 old AS (SELECT doc_id, shard, offer FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY offer DESC, shard) AS rank FROM bids WHERE shard < 24) WHERE rank = 1)
 SELECT k.doc_id, size, text_crc32, 'key' AS law, CAST(o.shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY o.shard ORDER BY place & 1023, k.doc_id, text_crc32) - 1 AS slot,
     CAST(CASE WHEN n.offer > o.offer THEN 24 ELSE o.shard END AS INTEGER) AS grown_shard
