@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graphs, intervals, sketches
+from tessera.sources import stored
 
 
 def spans(seed, n, top):
@@ -83,6 +84,29 @@ def test_reachable(spark, seed):
     assert graphs.reachable(e.where("a > 1000"), spark.createDataFrame([(3,)], "start int")).collect() == [(3, 3, 0)]
 
 
+def test_reachable_keeps_words_of_starts_not_pairs(spark, monkeypatch):
+    """150 starts go around a ring of 160 nodes: what a round writes has at most a row for each node and 64 starts, and two steps are one round."""
+    sizes = []
+
+    def counted(df):
+        table = stored.written(df)
+        if "node" in df.columns:
+            sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(graphs, "written", counted)
+    ring = spark.range(160).select(F.col("id").alias("a"), ((F.col("id") + 1) % 160).alias("b")).coalesce(1)
+    found = graphs.reachable(ring, spark.range(150).select(F.col("id").alias("start")), most=19)
+    assert sorted(map(tuple, found.collect())) == sorted((s, (s + h) % 160, h) for s in range(150) for h in range(20))
+    assert len(sizes) <= 11 and max(sizes) <= 3 * 160
+
+
+def test_reachable_takes_single_steps_where_a_hub_has_too_many_double_ones(spark):
+    edges = [(i, 1000) for i in range(60)] + [(1000, 2000 + i) for i in range(60)]
+    found = graphs.reachable(spark.createDataFrame(edges, "a int, b int"), spark.createDataFrame([(i,) for i in range(60)], "start int"))
+    assert sorted(map(tuple, found.collect())) == sorted((s, node, h) for s in range(60) for node, h in [(s, 0), (1000, 1), *((2000 + i, 2) for i in range(60))])
+
+
 def test_merged_sketches_are_as_good_as_whole_ones(spark):
     """Many distinct values, a skewed one, nulls; days merged to one group, against exact figures and against one sketch over all rows."""
     n = 60_000
