@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import written
 from . import ranks
 
 #: Levels in use at most: numbers are cells of ``unit`` from the least one on, below 2**LEVELS.
@@ -78,19 +79,21 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
 def overlap_counts(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], key: str, out: str) -> DataFrame:
     """(key, ``out``): with how many rows of right the interval of each row of left overlaps, without making the pairs.
 
-    It is the number of intervals that begin up to its end less that of those that end before its start; both are running counts over
-    the ends of all intervals in order. key tells the rows of left apart. Intervals as in overlaps(); one that overlaps nothing counts 0.
+    It is the number of intervals that begin up to its end less that of those that end before its start. Both are running counts over
+    the distinct ends of all intervals, counted before anything is ordered, so a frequent end is one row; each row of left then looks its
+    two ends up. key tells the rows of left apart. Intervals as in overlaps(); one that overlaps nothing counts 0.
     """
     (a, b), (c, d) = left_span, right_span
-    own = left.where(F.col(a) <= F.col(b))
-    others = right.where(F.col(c) <= F.col(d))
-    nobody = F.lit(None).cast(left.schema[key].dataType)
+    own = left.where(F.col(a) <= F.col(b)).select(F.col(key).alias("key"), F.col(a).cast("long").alias("lo"), F.col(b).cast("long").alias("hi"))
+    others = right.where(F.col(c) <= F.col(d)).select(F.col(c).cast("long").alias("lo"), F.col(d).cast("long").alias("hi"))
 
-    def counted(asked: str, given: str, given_first: bool) -> DataFrame:
-        ask = own.select(F.col(key).alias("key"), F.col(asked).cast("long").alias("at"), F.lit(1 if given_first else 0).alias("turn"), F.lit(0).alias("one"), F.lit(True).alias("asks"))
-        give = others.select(nobody.alias("key"), F.col(given).cast("long").alias("at"), F.lit(0 if given_first else 1).alias("turn"), F.lit(1).alias("one"), F.lit(False).alias("asks"))
-        return ranks.running(ask.unionByName(give), [], [F.col("at"), F.col("turn")], "one", "n").where("asks").select("key", "n")
+    def ends(spans: DataFrame, one: int) -> DataFrame:
+        point = lambda at, begun, ended: F.struct(F.col(at).alias("at"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"))
+        return spans.select(F.explode(F.array(point("lo", one, 0), point("hi", 0, one))).alias("p")).select("p.*")
 
-    begun, ended = counted(b, c, True), counted(a, d, False).select("key", (-F.col("n")).alias("n"))
+    values = written(ends(own, 0).unionByName(ends(others, 1)).groupBy("at").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended")))
+    begun = ranks.running(values, [], [F.col("at")], "begun", "n").select(F.col("at").alias("hi"), F.col("n").alias("begun"))
+    ended = ranks.running(values, [], [F.col("at")], "ended", "n").select(F.col("at").alias("lo"), (F.col("n") - F.col("ended")).alias("ended"))
+    found = own.join(begun, "hi").join(ended, "lo").select("key", (F.col("begun") - F.col("ended")).alias("n"))
     none = left.where(~F.coalesce(F.col(a) <= F.col(b), F.lit(False))).select(F.col(key).alias("key"), F.lit(0).cast("long").alias("n"))
-    return begun.unionByName(ended).unionByName(none).groupBy(F.col("key").alias(key)).agg(F.sum("n").alias(out))
+    return found.unionByName(none).select(F.col("key").alias(key), F.col("n").alias(out))

@@ -66,3 +66,13 @@ def test_a_tie_is_cut_and_empty_tables_stay_empty(spark, table):
     none = table.where("id < 0")
     assert ranks.numbered(none, ["g"], [F.col("v").asc()], "n").count() == ranks.ranked(none, ["g"], "v").count() == 0
     assert ranks.framed(none, ["g"], [F.col("v").asc()], 1, 0, lambda w: {"x": F.sum("id").over(w)}).count() == 0
+
+
+def test_ranges_grow_with_the_table(spark, table, monkeypatch):
+    """More ranges than the session's shuffle partitions where the rows need them, the same sums."""
+    monkeypatch.setattr(ranks, "ROWS", 20, raising=False)
+    order = [F.col("v").asc(), F.col("id").asc()]
+    assert ranks.dealt(table, [], order).select("part").distinct().count() > 8
+    for groups in (["g"], []):
+        got = ranks.running(table, groups, order, "id", "n").select("id", "n")
+        same(got, table.select("id", F.sum("id").over(Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))))

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import graphs, intervals, sketches
+from tessera.operators import graphs, intervals, ranks, sketches
 from tessera.sources import stored
 
 
@@ -60,6 +60,22 @@ def test_overlaps_make_no_nested_loop(spark):
     assert {r.n for r in intervals.overlap_counts(a.where("id < 20"), none, ("lo", "hi"), ("lo", "hi"), "id", "n").collect()} == {0}
 
 
+def test_overlap_counts_order_distinct_ends_only(spark, monkeypatch):
+    """3,000 spans with 21 ends: what is dealt to ranges is a row for each end."""
+    sizes, dealt = [], ranks.dealt
+
+    def counted(df, *args):
+        sizes.append(df.count())
+        return dealt(df, *args)
+
+    monkeypatch.setattr(ranks, "dealt", counted)
+    rows = spark.range(3000).select("id", (F.col("id") % 20).alias("lo"), (F.col("id") % 20 + F.col("id") % 2).alias("hi"))
+    counts = {r.id: r.n for r in intervals.overlap_counts(rows, rows, ("lo", "hi"), ("lo", "hi"), "id", "n").collect()}
+    spans = [(i % 20, i % 20 + i % 2) for i in range(3000)]
+    met = {x: sum(x[0] <= y[1] and y[0] <= x[1] for y in spans) for x in set(spans)}
+    assert counts == {i: met[x] for i, x in enumerate(spans)} and max(sizes) == 21
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_reachable(spark, seed):
     """Cycles, loops, repeated and null edges and starts, starts that aren't nodes."""
