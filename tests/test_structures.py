@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,54 @@ def test_reachable_takes_single_steps_where_a_hub_has_too_many_double_ones(spark
     assert sorted(map(tuple, found.collect())) == sorted((s, node, h) for s in range(60) for node, h in [(s, 0), (1000, 1), *((2000 + i, 2) for i in range(60))])
 
 
+def test_reachable_leaves_no_shuffle_files_of_its_rounds(spark):
+    """20 rounds around a ring: the files of their shuffles go with the rounds, whether or not the driver collects its garbage."""
+
+    def shuffles():
+        return set(re.findall(r"shuffle_(\d+)_", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")))
+
+    ring = spark.range(40).select(F.col("id").alias("a"), ((F.col("id") + 1) % 40).alias("b"))
+    before = shuffles()
+    found = graphs.reachable(ring, spark.range(3).select(F.col("id").alias("start")))
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:  # executors delete them a moment later
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert sorted(map(tuple, found.collect())) == sorted((s, (s + h) % 40, h) for s in range(3) for h in range(40))
+    assert spark.conf.get(stored._SHUFFLES_END) == "false"
+
+
+def test_reachable_puts_starts_with_the_same_nodes_in_the_same_words(spark, monkeypatch):
+    """Four rings of 64 nodes with keys in turn: a word has the starts of one ring, so the table has a row for each node, not four."""
+    sizes = []
+
+    def counted(df):
+        table = stored.written(df)
+        if {"word", "node"} <= set(df.columns):
+            sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(graphs, "written", counted)
+    monkeypatch.setattr(graphs, "FEW_ROWS", 0, raising=False)
+    ring = spark.range(256).select(F.col("id").alias("a"), F.pmod(F.col("id") - 4, F.lit(256)).alias("b"))
+    found = graphs.reachable(ring, spark.range(256).select(F.col("id").alias("start")))
+    assert sorted(map(tuple, found.collect())) == sorted((s, (s - 4 * h) % 256, h) for s in range(256) for h in range(64))
+    assert max(sizes) == 256
+
+
+def test_reachable_is_the_same_whichever_words_starts_share(spark, monkeypatch):
+    """Random edges with nulls, loops and repeats; starts that no edge has, or that no edge leaves."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.choice([None, *range(300)]), rng.randrange(300)) for _ in range(330)] + [(7, 7), (1, 2), (1, 2), (3, None)], "a int, b int")
+    starts = spark.createDataFrame([(x,) for x in [*range(0, 300, 2), 4, 999, None]], "start int")
+    want = sorted(map(tuple, graphs.reachable(edges, starts).collect()))
+    monkeypatch.setattr(graphs, "FEW_ROWS", 0, raising=False)
+    for looks in (0, 2, 8):
+        monkeypatch.setattr(graphs, "LOOKS", looks, raising=False)
+        assert sorted(map(tuple, graphs.reachable(edges, starts).collect())) == want and (999, 999, 0) in want
+    assert graphs.reachable(edges.where("a > 1000"), starts.where("start = 4")).collect() == [(4, 4, 0)]
+
+
 def test_merged_sketches_are_as_good_as_whole_ones(spark):
     """Many distinct values, a skewed one, nulls; days merged to one group, against exact figures and against one sketch over all rows."""
     n = 60_000
